@@ -369,3 +369,50 @@ ORACLE: dict[str, str] = {
         "clicks",
     ),
 }
+
+_EVENTS = "SELECT event_id, event_type, auction, bidder AS user_id, price, epoch_us(date_time) AS us FROM clicks"
+
+ORACLE |= {
+    "stream_q1": ORACLE["q1"],
+    "stream_q3": ORACLE["q3"],
+    "stream_q5": ORACLE["q5"],
+    "stream_q7": ORACLE["q7"],
+    "stream_q8": ORACLE["q8"],
+    "stream_closed_auctions": ORACLE["closed_auctions"],
+    "stream_q4_running": ORACLE["q4_running"].replace("SELECT id, category, expires,", "SELECT id, category,"),
+    "stream_q6": ORACLE["q6"].replace("SELECT id, bidder, expires,", "SELECT id, bidder,"),
+    "state_machine": sql(
+        f"""SELECT user_id, event_id, CAST(sum(price) OVER (PARTITION BY user_id, part ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)
+            AS BIGINT) AS total FROM (SELECT *, count(CASE WHEN event_type = 'signup' THEN 1 END) OVER (PARTITION BY user_id
+            ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM ({_EVENTS}))""",
+        "clicks",
+    ),
+    "state_scan": sql(
+        f"""SELECT user_id, CAST(sum(price) AS BIGINT) AS total FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN us END)
+            OVER (PARTITION BY user_id) AS last_signup FROM ({_EVENTS})) WHERE last_signup IS NULL OR us > last_signup GROUP BY user_id""",
+        "clicks",
+    ),
+    "stateful_unary": sql(
+        f"SELECT auction, event_id, row_number() OVER (PARTITION BY auction ORDER BY us, event_id) AS position FROM ({_EVENTS})",
+        "clicks",
+    ),
+    "stateful_unary_input": sql(
+        f"""SELECT auction, slot_end_us, CAST(sum(n) OVER (PARTITION BY auction ORDER BY slot_end_us ROWS UNBOUNDED PRECEDING) AS BIGINT)
+            AS bids FROM (SELECT auction, (us // 3600000000 + 1) * 3600000000 AS slot_end_us, count(*) AS n FROM ({_EVENTS}) GROUP BY ALL)""",
+        "clicks",
+    ),
+    "stateful_binary": ORACLE["latest_match_join"].replace(
+        ", coalesce(lt, ft) AS left_ts, b.ts AS right_ts", ""
+    ),
+    "stateful_binary_input": sql(
+        f"""SELECT v.user_id, v.event_id, count(p.us) AS fresh FROM ({_EVENTS}) v LEFT JOIN ({_EVENTS}) p
+            ON v.user_id = p.user_id AND p.event_type = 'purchase' AND p.us <= v.us AND v.us < p.us + 3600000000
+            WHERE v.event_type = 'view' GROUP BY ALL""",
+        "clicks",
+    ),
+    "event_timers": sql(
+        f"""SELECT user_id, event_id, us + price * 1000000 AS due_us, row_number() OVER (PARTITION BY user_id
+            ORDER BY us + price * 1000000, event_id) AS position FROM ({_EVENTS})""",
+        "clicks",
+    ),
+}
