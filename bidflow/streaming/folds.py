@@ -192,7 +192,7 @@ def _at_own_time(us, row):
 
 
 def _tagged(df, key, time, order, number):
-    payload = F.to_json(F.struct(*[c for c in df.columns if c != time]))
+    payload = F.to_json(F.struct(*[c for c in df.columns if c != time]), {"ignoreNullFields": "false"})
     return df.select(
         F.col(key).alias("key"),
         F.col(time).alias("_time"),

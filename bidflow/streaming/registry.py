@@ -21,11 +21,11 @@ def stream(fn):
     return fn
 
 
-def _end_rows(end: DataFrame, like: DataFrame, time: str) -> DataFrame:
-    """The end marker in the columns of another stream: its time, and nulls or -1 elsewhere."""
+def _end_rows(end: DataFrame, like: DataFrame) -> DataFrame:
+    """The end marker in the columns of another stream: its time in all times, -1 or null elsewhere."""
     def column(f):
-        if f.name == time:
-            return F.col("time").alias(time)
+        if f.dataType.simpleString() == "timestamp":
+            return F.col("time").alias(f.name)
         filler = F.lit(-1) if f.dataType.simpleString() == "bigint" else F.lit(None)
         return filler.cast(f.dataType).alias(f.name)
 
@@ -65,8 +65,8 @@ class _StreamSession:
         return read_stream(self.spark, path) if name in self.streamed else self.spark.read.parquet(path)
 
 
-def _with_end(df: DataFrame, end: DataFrame, time: str = "date_time") -> DataFrame:
-    return df.unionByName(_end_rows(end, df, time))
+def _with_end(df: DataFrame, end: DataFrame) -> DataFrame:
+    return df.unionByName(_end_rows(end, df))
 
 
 def _ntz(df: DataFrame, *columns: str) -> DataFrame:
@@ -137,7 +137,7 @@ def _from_closed_log(spark, closed, plan, name):
 
     def build(end):
         log = sq.closed_log(replay_stream(spark, path, StructType.fromDDL(sq.CLOSED)))
-        return plan(_with_end(log, end, "expires"))
+        return plan(_with_end(log, end))
 
     return run_to_table(spark, build, name)[0]
 
