@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidflow.functions.scalars import histogram_bucket
 from bidflow.operators.ordered import running
+from bidflow.operators.sizing import reusable
 from bidflow.operators.skew import balanced_join
 from bidflow.sources.logs import QUANTILE_COLUMNS, param_type, run_params
 
@@ -41,9 +42,10 @@ def quantile_timeline(samples: DataFrame, run: str, bucket: Column, value: str)
     Equal values are counted first; a running count over the distinct values then finds each rank,
     in range slices when a bucket is large, so no bucket has to fit into one task.
     """
-    counts = samples.groupBy(
-        F.col(run).alias("run"), bucket.alias("bucket"), F.col(value).alias("value")
-    ).agg(F.count(F.lit(1)).alias("_n"))
+    counts = reusable(
+        samples.groupBy(F.col(run).alias("run"), bucket.alias("bucket"), F.col(value).alias("value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
     ranked = running(counts, ["run", "bucket"], ["value"], sums={"_upto": F.col("_n")})
     totals = counts.groupBy("run", "bucket").agg(F.sum("_n").alias("_total")).select(
         F.col("run").alias("_run"), F.col("bucket").alias("_bucket"), "_total"
@@ -149,7 +151,7 @@ def experiment_params(runs: DataFrame) -> DataFrame:
 
     Values come as rows, not as one array per parameter, so their number is not limited.
     """
-    values = (
+    values = reusable(
         run_params(runs.select("run").distinct())
         .select(F.explode("params").alias("param", "value"))
         .distinct()

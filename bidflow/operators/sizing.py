@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_INPUT_CONF = "spark.bidflow.smallInputBytes"
 SMALL_INPUT_BYTES = 64 << 20
 SLICE_BYTES = 128 << 20
+MAX_SLICES = 100_000
+UNKNOWN_BYTES = 1 << 60
 
 
 def scanned_bytes(df: DataFrame) -> int | None:
@@ -53,9 +55,9 @@ def slice_count(df: DataFrame) -> int:
     """Range slices for a full sort: shuffle partitions, or more when the input is bigger."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     size = scanned_bytes(df)
-    if size is None or size >= 1 << 60:
+    if size is None or size >= UNKNOWN_BYTES:
         return configured
-    return max(configured, -(-size // SLICE_BYTES))
+    return min(max(configured, -(-size // SLICE_BYTES)), MAX_SLICES)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -77,8 +79,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the written rows are what every later read sees, also after executor loss."""
+    """Writes the rows once and reads them back: what every later step sees, also after executor loss.
+
+    A written table rather than a checkpoint, because its real size is known to the plans built on
+    it and each of them reads only the columns it needs.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = scratch_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def reusable(df: DataFrame) -> DataFrame:
+    """A result that is read several times: as it is when cheap to repeat, else written once."""
+    return df if is_small(df) else materialize(df)

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bidflow.operators.sizing import is_small
 
-# A frequent-items sketch over HOT_TRACKED counters reports every key above roughly
-# 1 / (0.75 * HOT_TRACKED) of the rows, so HOT_KEYS keys cover all shares that can unbalance a join.
-HOT_KEYS = 1024
-HOT_TRACKED = 16384
+# Frequent-items sketches over SKETCH_ITEMS counters miss a key only below a share of about
+# 1 / (0.75 * SKETCH_ITEMS) of the rows they see. Input partitions are sketched in SKETCH_GROUPS
+# groups, so no task merges the sketches of all of them.
+SKETCH_ITEMS = 32_768
+SKETCH_TOP = 8_192
+SKETCH_GROUPS = 1024
+HOT_KEYS = 32_768
 ROWS_PER_SALT = 2_000_000
 MAX_SALTS = 4096
 
@@ -24,21 +27,23 @@ def _as_one(keys: list[str]) -> Column:
 def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """At most HOT_KEYS rows (_hot_key, _salts): the keys to split and into how many parts.
 
-    One pass over the key columns; the partial sketches have constant size, so the shuffle does too.
-    The sketch only decides how rows are spread. It never decides whether a row is kept.
+    One pass over the key columns; what is shuffled are sketches of constant size per task.
+    The sketches only decide how rows are spread. They never decide whether a row is kept.
     """
-    sketch = (
-        df.select(_as_one(keys).alias("_k"))
+    sketched = (
+        df.select(_as_one(keys).alias("_k"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
         .where(F.col("_k").isNotNull())
-        .agg(F.expr(f"approx_top_k(_k, {HOT_KEYS}, {HOT_TRACKED})").alias("top"))
+        .groupBy("_group")
+        .agg(F.expr(f"approx_top_k(_k, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top"))
     )
     return (
-        sketch.select(F.explode("top").alias("entry"))
-        .where(F.col("entry.count") > rows_per_salt)
-        .select(
-            F.col("entry.item").alias("_hot_key"),
-            F.least(F.ceil(F.col("entry.count") / rows_per_salt), F.lit(MAX_SALTS)).cast("int").alias("_salts"),
-        )
+        sketched.select(F.explode("top").alias("entry"))
+        .groupBy(F.col("entry.item").alias("_hot_key"))
+        .agg(F.sum("entry.count").alias("_rows"))
+        .where(F.col("_rows") > rows_per_salt)
+        .orderBy(F.col("_rows").desc())
+        .limit(HOT_KEYS)
+        .select("_hot_key", F.least(F.ceil(F.col("_rows") / rows_per_salt), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
     )
 
 

@@ -6,7 +6,7 @@ integer cents and every average is a truncating integer division.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from bidflow.functions.scalars import to_euro_cents, truncated_mean
 from bidflow.operators.changelog import consolidate
@@ -20,10 +20,6 @@ STATES = ["OR", "ID", "CA"]
 LAST_N = 10
 
 
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
-
-
 # -- stateless -----------------------------------------------------------------------------------
 
 
@@ -63,7 +59,8 @@ def q3_latest(auctions: DataFrame, people: DataFrame) -> DataFrame:
     """A person meets every later auction, but only the latest of the auctions already there.
 
     "Latest at or before" is a maximum per person, so it is aggregated (and combined before any
-    shuffle) instead of being looked up in an ordered list of the seller's auctions.
+    shuffle) instead of being looked up in an ordered list of the seller's auctions. Later auctions
+    go through the same aggregation as groups of their own: one join, one pass.
     """
     items, sellers = _q3_sides(auctions, people)
     pairs = balanced_join(
@@ -72,14 +69,12 @@ def q3_latest(auctions: DataFrame, people: DataFrame) -> DataFrame:
         "seller",
         "person",
     )
-    after = pairs.where("opened > joined").select("name", "city", "state", "auction")
-    latest = (
-        pairs.where("opened <= joined")
-        .groupBy("person", "name", "city", "state")
+    own_group = F.when(F.col("opened") > F.col("joined"), F.col("auction"))
+    return (
+        pairs.groupBy("person", own_group.alias("_later"), "name", "city", "state")
         .agg(F.max(F.struct("opened", "auction")).alias("last"))
         .select("name", "city", "state", F.col("last.auction").alias("auction"))
     )
-    return after.unionByName(latest)
 
 
 def q3_semijoin(auctions: DataFrame, people: DataFrame, key: str = "seller") -> DataFrame:
@@ -159,8 +154,6 @@ def q6_seller(closed: DataFrame, n: int = LAST_N) -> DataFrame:
 
     `row_number <= n` lets Spark keep only n rows per seller and task before the shuffle.
     """
-    from pyspark.sql import Window
-
     newest = Window.partitionBy("seller").orderBy(F.col("expires").desc(), F.col("price").desc())
     return (
         closed.select("seller", "expires", "price")

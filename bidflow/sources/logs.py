@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from bidflow.operators.skew import balanced_join
+
 # The tags of result-log lines, and the letters of control-log lines.
 CCDF_TAGS = ["latency_ccdf", "count_ccdf"]
 MEMORY_TAG = "statm_RSS"
@@ -106,24 +109,26 @@ def parse_control_lines(lines: DataFrame) -> DataFrame:
 
 def read_result_logs(spark: SparkSession, root: str, file_name: str = "stdout.0") -> DataFrame:
     """Lines of `root/<run>/<file_name>` for the runs that have a `done` marker: (run, value)."""
-    run = F.element_at(F.split(F.col("_path"), "/"), -2)
-    lines = (
-        spark.read.text(f"{root}/*/{file_name}")
-        .select("value", F.col("_metadata.file_path").alias("_path"))
-        .select(F.url_decode(F.replace(run, F.lit("+"), F.lit("%2B"))).alias("run"), "value")
-    )
-    done = (
-        spark.read.format("binaryFile")
-        .load(f"{root}/*/done")
-        .select(F.col("path").alias("_path"))
-        .select(F.url_decode(F.replace(run, F.lit("+"), F.lit("%2B"))).alias("run"))
+    # Paths are URL-encoded, but with literal plus signs.
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    lines = spark.read.text(f"{root}/*/{file_name}").select(
+        F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("run"), "value"
     )
-    return finished_runs(lines, done)
+    return finished_runs(lines, done_runs(spark, root))
+
+
+def done_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Names of the runs with a `done` marker: a listing, as the markers are empty files no reader returns."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/done")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    names = [status.getPath().getParent().getName() for status in found]
+    return spark.createDataFrame(pa.table({"run": pa.array(names, pa.string())}))
 
 
 def finished_runs(lines: DataFrame, done: DataFrame) -> DataFrame:
-    """Keeps lines of finished runs. Markers are one row per run and made distinct first."""
-    return lines.join(done.select("run").distinct(), "run", "left_semi")
+    """Keeps lines of finished runs. Distinct markers make the join a filter; a long run is spread."""
+    finished = done.select(F.col("run").alias("_finished")).distinct()
+    return balanced_join(lines, finished, "run", "_finished").drop("_finished")
 
 
 def parse_result_lines(lines: DataFrame) -> DataFrame:
