@@ -57,9 +57,10 @@ def balanced_join(
 ) -> DataFrame:
     """Inner equi-join `many.many_key = one.one_key` (and `condition`), `one` unique by its key.
 
-    Column names of the two sides must not overlap. Large inputs: rows of hot keys are spread over
-    `salts` parts and the single matching row of `one` is repeated once per part. The part number
-    depends on the row and its input partition only, so a re-run task sends rows to the same place.
+    Column names of the two sides must not overlap. Large inputs are looked at first: if there are
+    hot keys, their rows are spread over parts and the single matching row of `one` is repeated once
+    per part. The part number depends on the row and its input partition only, so a re-run task
+    sends rows to the same place.
     """
     many_keys = [many_key] if isinstance(many_key, str) else many_key
     one_keys = [one_key] if isinstance(one_key, str) else one_key
@@ -71,17 +72,21 @@ def balanced_join(
     if is_small(many, one):
         return many.join(one, on, "inner")
 
-    hot = hot_keys(many, many_keys, rows_per_salt)
-    part = F.pmod(F.xxhash64(*many.columns) + F.spark_partition_id(), F.coalesce("_salts", F.lit(1)))
+    # At most HOT_KEYS rows come back, and none at all when the keys are even.
+    hot = many.sparkSession.createDataFrame(hot_keys(many, many_keys, rows_per_salt).toArrow())
+    if hot.isEmpty():
+        return many.join(one, on, "inner")
+
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*many.columns) + F.spark_partition_id(), salts)
     spread_many = (
         many.join(F.broadcast(hot), _as_one(many_keys) == F.col("_hot_key"), "left")
-        .withColumn("_part", part.cast("int"))
+        .withColumn("_part", F.when(salts > 1, spread).otherwise(0).cast("int"))
         .drop("_hot_key", "_salts")
     )
-    parts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     spread_one = (
         one.join(F.broadcast(hot), _as_one(one_keys) == F.col("_hot_key"), "left")
-        .withColumn("_one_part", F.explode(parts))
+        .withColumn("_one_part", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_hot_key", "_salts")
     )
     return spread_many.join(spread_one, on & (F.col("_part") == F.col("_one_part")), "inner").drop(

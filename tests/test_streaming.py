@@ -1,8 +1,10 @@
 """Streaming forms: against the batch results, over many micro-batches, and the fold rules."""
 
+import os
+
 import pytest
 from oracle_check import compare
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from bidflow.operators import changelog
 from bidflow.plans import auctions as q
@@ -20,10 +22,7 @@ def test_stream(name, spark, sf_dir, duck):
 
 def _files(df, path, order, n):
     """Writes `n` files in the order a stream with one file per trigger reads them."""
-    import os
-    import time
-
-    ordered = df.orderBy(order).withColumn("_part", F.ntile(n).over(__import__("pyspark").sql.Window.orderBy(order)))
+    ordered = df.orderBy(order).withColumn("_part", F.ntile(n).over(Window.orderBy(order)))
     ordered = ordered.cache()
     for i in range(1, n + 1):
         ordered.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
@@ -62,8 +61,6 @@ def test_late_rows_are_dropped(spark, tmp_path):
         "SELECT id AS auction, id AS bidder, id AS price, timestamp_seconds(id * 10) AS date_time FROM range(100, 110)"
     )
     path = _files(rows, str(tmp_path / "bids"), "date_time", 2)
-    import os
-
     late = spark.sql("SELECT 1L AS auction, 1L AS bidder, 999L AS price, timestamp_seconds(1) AS date_time")
     late.coalesce(1).write.mode("append").parquet(path)
     newest = max((os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet")), key=os.path.getmtime)
@@ -78,9 +75,12 @@ def test_late_rows_are_dropped(spark, tmp_path):
 
 
 def test_timers_of_two_inputs(spark, tmp_path):
-    """Two inputs with rows (0,0) .. (8,8): every row once, in time order, first input first."""
+    """Two inputs with nine rows each: every row once, in time order, first input first.
+
+    Times start after 1970: a stream's first watermark is 1970-01-01, and Spark drops rows up to it.
+    """
     for name in ("in1", "in2"):
-        spark.sql("SELECT id AS d, timestamp_seconds(id) AS at FROM range(9)").write.parquet(str(tmp_path / name))
+        spark.sql("SELECT id AS d, timestamp_seconds(1000 + id) AS at FROM range(9)").write.parquet(str(tmp_path / name))
 
     def deliver(number):
         def fold(key, due, state1, state2, later):
@@ -103,12 +103,12 @@ def test_timers_of_two_inputs(spark, tmp_path):
 
     found, _ = run_to_table(spark, build, "timers")
     rows = sorted(tuple(r) for r in found.collect())
-    assert rows == [(2 * d + i, i, d * 1_000_000, d) for d in range(9) for i in (1, 2)]
+    assert rows == [(2 * d + i, i, (1000 + d) * 1_000_000, d) for d in range(9) for i in (1, 2)]
 
 
 def test_folds_can_schedule_rows(spark, tmp_path):
     """Each row comes back twice, one second later each time, between the rows that are due then."""
-    spark.sql("SELECT id AS d, timestamp_seconds(id) AS at FROM range(3)").write.parquet(str(tmp_path / "in"))
+    spark.sql("SELECT id AS d, timestamp_seconds(1000 + id) AS at FROM range(3)").write.parquet(str(tmp_path / "in"))
 
     def fold(key, due, state, later):
         n = (state.get() or (0,))[0]
@@ -127,7 +127,7 @@ def test_folds_can_schedule_rows(spark, tmp_path):
 
     found, _ = run_to_table(spark, build, "hops")
     rows = sorted(tuple(r) for r in found.collect())
-    assert [(s, d, hop) for _, s, d, hop in rows] == sorted((d + hop, d, hop) for d in range(3) for hop in range(3))
+    assert [(s, d, hop) for _, s, d, hop in rows] == sorted((1000 + d + hop, d, hop) for d in range(3) for hop in range(3))
     assert [r[0] for r in rows] == list(range(1, 10))
 
 
