@@ -172,6 +172,17 @@ def _seconds(n: int):
     return F.expr(f"make_dt_interval(0, 0, 0, {n})")
 
 
+# Microseconds of a time and back, for both timestamp types.
+_MICROS = {
+    "timestamp_ntz": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {})",
+    "timestamp": "unix_micros({})",
+}
+_TIME_OF = {
+    "timestamp_ntz": "timestampadd(MICROSECOND, {}, TIMESTAMP_NTZ '1970-01-01 00:00:00')",
+    "timestamp": "timestamp_micros({})",
+}
+
+
 def slot_counts(bids: DataFrame, slide_seconds: int = 1) -> DataFrame:
     """Bids per (slot, auction): the only step that touches single bids."""
     return (
@@ -182,13 +193,45 @@ def slot_counts(bids: DataFrame, slide_seconds: int = 1) -> DataFrame:
 
 
 def sliding_counts(bids: DataFrame, slices: int = 60, slide_seconds: int = 1) -> DataFrame:
-    """Bids per (window_end, auction); each slot count, not each bid, is copied into its windows."""
+    """Bids per (window_end, auction), for all windows an auction has bids in.
+
+    Time is cut into chunks of one window length. A slot's count matters in its own chunk, where it
+    is added, and in the next one, where it is there from the start and then falls out. So three
+    signed rows per slot count are shuffled instead of one row per window, and a group is one
+    auction in one chunk: at most 2 * slices + 1 rows, whatever the auction. The running count only
+    changes at those rows; between them it is repeated per window, after the shuffle.
+    """
+    micros = slide_seconds * 1_000_000
+    n = slices
+    slots = slot_counts(bids, slide_seconds)
+    kind = slots.schema["slot_end"].dataType.simpleString()
+    to_slot = f"{_MICROS[kind].format('slot_end')} div {micros}"
+    numbered = slots.selectExpr("auction", "bids", f"{to_slot} AS _t").withColumn(
+        "_chunk", F.expr(f"(_t - pmod(_t, {n})) div {n}")
+    )
+    changes = F.array(
+        F.struct(F.col("_chunk").alias("chunk"), F.col("_t").alias("t"), F.col("bids").alias("diff")),
+        F.struct((F.col("_chunk") + 1).alias("chunk"), ((F.col("_chunk") + 1) * n).alias("t"), F.col("bids").alias("diff")),
+        F.struct((F.col("_chunk") + 1).alias("chunk"), (F.col("_t") + n).alias("t"), (-F.col("bids")).alias("diff")),
+    )
+    per_time = (
+        numbered.select("auction", F.explode(changes).alias("c"))
+        .select("auction", "c.*")
+        .repartition("auction", "chunk")
+        .groupBy("auction", "chunk", "t")
+        .agg(F.sum("diff").alias("diff"))
+    )
+    in_chunk = Window.partitionBy("auction", "chunk").orderBy("t")
+    steps = per_time.select(
+        "auction",
+        "t",
+        F.sum("diff").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)).alias("bids"),
+        F.coalesce(F.lead("t").over(in_chunk), (F.col("chunk") + 1) * n).alias("_until"),
+    )
     return (
-        slot_counts(bids, slide_seconds)
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        .withColumn("window_end", F.col("slot_end") + F.expr(f"make_dt_interval(0, 0, 0, _i * {slide_seconds})"))
-        .groupBy("window_end", "auction")
-        .agg(F.sum("bids").alias("bids"))
+        steps.where("bids > 0")
+        .select("auction", "bids", F.explode(F.sequence("t", F.col("_until") - 1)).alias("_end"))
+        .select(F.expr(_TIME_OF[kind].format(f"_end * {micros}")).alias("window_end"), "auction", "bids")
     )
 
 
