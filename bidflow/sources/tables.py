@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
+def auctions_of(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
         "o_orderkey AS id",
         "CAST(round(o_totalprice * 100) AS BIGINT) div 10 AS initial_bid",
         "CAST(round(o_totalprice * 100) AS BIGINT) div 10 AS reserve",
@@ -24,8 +24,8 @@ def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(
+def bids_of(lineitem: DataFrame) -> DataFrame:
+    return lineitem.selectExpr(
         "l_orderkey AS auction",
         "l_suppkey AS bidder",
         "CAST(round(l_extendedprice * 100) AS BIGINT) AS price",
@@ -33,12 +33,10 @@ def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with their nation as city. Nations are a fixed list of 25 rows; Catalyst sees its size."""
+def people_of(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Customers with their nation as city. Spark broadcasts the 25 nations by their size."""
     states = ", ".join(f"'{s}'" for s in STATES)
-    customer = table(spark, sf_dir, "customer")
-    nation = table(spark, sf_dir, "nation")
-    return customer.join(nation, customer.c_nationkey == nation.n_nationkey).selectExpr(
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
         "c_custkey AS id",
         "c_name AS name",
         "n_name AS city",
@@ -47,9 +45,9 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clicks_of(events: DataFrame) -> DataFrame:
     """Event rows as bids with a sub-second event time."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "event_id",
         "event_type",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS auction",
@@ -59,9 +57,9 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words_of(events: DataFrame) -> DataFrame:
     """One word occurrence per event row: (event_id, ts, key, val = 1)."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "event_id",
         "ts",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS key",
@@ -69,6 +67,26 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auctions_of(table(spark, sf_dir, "orders"))
+
+
+def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bids_of(table(spark, sf_dir, "lineitem"))
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people_of(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
+
+
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clicks_of(table(spark, sf_dir, "events"))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_of(table(spark, sf_dir, "events"))
+
+
 def tagged_events(people: DataFrame, auctions: DataFrame, bids: DataFrame) -> DataFrame:
     """One table of all events: a `type` tag and one filled struct per row."""
     person_t = people.select(F.struct("*").alias("s")).schema["s"].dataType.simpleString()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from bidflow.plans.auctions import CATEGORY, LAST_N, STATES
-from bidflow.streaming.folds import state_machine, stateful_binary
+from bidflow.streaming.folds import state_machine, stateful_binary, stateful_unary
 
 
 def with_timestamps(df: DataFrame) -> DataFrame:
@@ -133,8 +133,6 @@ def q4_running(closed: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 
 def q6(closed: DataFrame, n: int = LAST_N, delay: str = "0 seconds") -> DataFrame:
-    from bidflow.streaming.folds import stateful_unary
-
     def fold(bidder, due, state, later):
         for _, row in due:
             state.replace((state.items() + [(row["price"],)])[-n:])

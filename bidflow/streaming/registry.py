@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from bidflow.functions import scalars
+from bidflow.operators.sizing import scratch_folder
+from bidflow.plans import auctions as q
 from bidflow.plans.registry import HOUR, Q5_SLICES, Q8_WINDOW
 from bidflow.sources import tables
+from bidflow.sources.logs import capture, replay_stream
 from bidflow.streaming import folds, queries as sq
 from bidflow.streaming.runs import read_stream, run_to_table, scan_state
 
@@ -33,36 +36,26 @@ def _end_rows(end: DataFrame, like: DataFrame) -> DataFrame:
 
 
 class _Streams:
-    """The table views of `bidflow.sources.tables` with parquet streams below them."""
+    """The auction model with its large tables read as streams."""
 
     def __init__(self, spark, d):
         self.spark, self.d = spark, d
 
-    def _view(self, view, name):
-        # The view functions only ask for `spark.read.parquet`; here that is a stream.
-        return sq.with_timestamps(view(_StreamSession(self.spark, name), self.d))
+    def _table(self, name):
+        return read_stream(self.spark, f"{self.d}/{name}.parquet")
 
     def clicks(self):
-        return self._view(tables.clicks, {"events"})
+        return sq.with_timestamps(tables.clicks_of(self._table("events")))
 
     def auctions(self):
-        return self._view(tables.auctions, {"orders"})
+        return sq.with_timestamps(tables.auctions_of(self._table("orders")))
 
     def bids(self):
-        return self._view(tables.bids, {"lineitem"})
+        return sq.with_timestamps(tables.bids_of(self._table("lineitem")))
 
     def people(self):
-        return self._view(tables.people, {"customer"})
-
-
-class _StreamSession:
-    def __init__(self, spark, streamed):
-        self.spark, self.streamed = spark, streamed
-        self.read = self
-
-    def parquet(self, path):
-        name = path.rsplit("/", 1)[1].removesuffix(".parquet")
-        return read_stream(self.spark, path) if name in self.streamed else self.spark.read.parquet(path)
+        nation = tables.table(self.spark, self.d, "nation")
+        return sq.with_timestamps(tables.people_of(self._table("customer"), nation))
 
 
 def _with_end(df: DataFrame, end: DataFrame) -> DataFrame:
@@ -75,9 +68,7 @@ def _ntz(df: DataFrame, *columns: str) -> DataFrame:
 
 @stream
 def stream_q1(spark, d):
-    from bidflow.plans.auctions import q1
-
-    return _ntz(run_to_table(spark, lambda end: q1(_Streams(spark, d).bids()), "stream-q1", flush=False)[0], "date_time")
+    return _ntz(run_to_table(spark, lambda end: q.q1(_Streams(spark, d).bids()), "stream-q1", flush=False)[0], "date_time")
 
 
 @stream
@@ -129,9 +120,6 @@ def stream_closed_auctions(spark, d):
 
 def _from_closed_log(spark, closed, plan, name):
     """Second stage: the closed-auction table is written once as a log and streamed from there."""
-    from bidflow.operators.sizing import scratch_folder
-    from bidflow.sources.logs import capture, replay_stream
-
     path = scratch_folder(spark, f"{name}-log")
     capture(closed, path)
 
@@ -143,9 +131,7 @@ def _from_closed_log(spark, closed, plan, name):
 
 
 def _closed_table(spark, d):
-    from bidflow.plans.auctions import closed_auctions
-
-    closed = closed_auctions(tables.auctions(spark, d), tables.bids(spark, d))
+    closed = q.closed_auctions(tables.auctions(spark, d), tables.bids(spark, d))
     return closed.select(
         "id", "seller", "category", "initial_bid", "reserve", scalars.micros_of("date_time").alias("opened_us"),
         scalars.micros_of("expires").alias("expires_us"), "bidder", "price", scalars.micros_of("bid_time").alias("bid_us"),

@@ -140,3 +140,18 @@ def test_streamed_closed_auctions_keep_nothing(spark, sf_dir):
     assert rows.count() == q.closed_auctions(tables.auctions(spark, sf_dir), tables.bids(spark, sf_dir)).count()
     assert scan_state(spark, checkpoint, "value1").count() <= 1
     assert scan_state(spark, checkpoint, "value2").count() == 0
+
+
+def test_streamed_event_log(spark, sf_dir, tmp_path):
+    """A stream of tagged events captured into a log and replayed as three streams."""
+    from bidflow.sources import logs
+
+    views = [tables.people(spark, sf_dir), tables.auctions(spark, sf_dir), tables.bids(spark, sf_dir)]
+    tagged = tables.tagged_events(*views)
+    source, log = str(tmp_path / "source"), str(tmp_path / "log")
+    logs.capture(tagged, source)
+    logs.capture_stream(read_stream(spark, source), log, str(tmp_path / "checkpoint")).awaitTermination()
+    branches = tables.demux(logs.replay_stream(spark, log, tagged.schema))
+    for i, (expected, branch) in enumerate(zip(views, branches)):
+        found, _ = run_to_table(spark, lambda end: branch, f"branch{i}", flush=False)
+        assert changelog.verify_equal(expected, found.select(*expected.columns)).count() == 0
