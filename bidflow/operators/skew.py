@@ -14,7 +14,7 @@ SKETCH_TOP = 8_192
 SKETCH_GROUPS = 1024
 HOT_KEYS = 32_768
 ROWS_PER_SALT = 2_000_000
-MAX_SALTS = 4096
+MAX_SALTS = 262_144
 
 
 def _as_one(keys: list[str]) -> Column:

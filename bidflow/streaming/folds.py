@@ -6,7 +6,8 @@ not depend on how the stream was cut into micro-batches. A record's due time is
 unless an input hook says otherwise, and folds may schedule further records for later.
 
 Pending records live in the state store as chunks in due order, and a key has a timer at its
-earliest due time, so a trigger works on keys with due records only.
+earliest due time, so a trigger works on keys with due records only. Chunks are merged in due order
+and read when the merge reaches them: a busy key never has all its records in memory.
 A key's fold is sequential by definition; use `bidflow.operators.ordered` where the fold is a sum,
 a maximum or a last value and the input is a table.
 """
@@ -23,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 CHUNK_ROWS = 1000
+BUFFER_ROWS = 100_000
 
 
 class KeyState:
@@ -103,8 +105,11 @@ class _TimedFold(StatefulProcessor):
             KeyState(handle.getValueState(f"value{i}", v), handle.getListState(f"items{i}", t))
             for i, (v, t) in enumerate(zip(self.value_schemas, self.item_schemas), 1)
         ]
-        # Records as JSON in chunks of CHUNK_ROWS, each with its earliest due millisecond.
-        self.pending = handle.getListState("pending", "first_ms BIGINT, records STRING")
+        # Chunks of records in due order, as JSON: a lone chunk of a trigger sits in its own list
+        # entry; the chunks of a busy key are entries naming a part, read when their time comes.
+        self.pending = handle.getListState("pending", "first_us BIGINT, part BIGINT, records STRING")
+        self.parts = handle.getMapState("parts", "part BIGINT", "records STRING")
+        self.last_part = handle.getValueState("last_part", "part BIGINT")
 
     def handleInputRows(self, key, rows, timerValues):
         buffered, earliest = [], None
@@ -112,70 +117,117 @@ class _TimedFold(StatefulProcessor):
             for due_us, record in self.consume[row["_input"] - 1](row["_us"], json.loads(row["_row"])):
                 # A record cannot become due before it arrives.
                 buffered.append((max(due_us, row["_us"]), row["_input"], row["_order"], record))
-            if len(buffered) >= 10 * CHUNK_ROWS:
-                earliest = _least(earliest, self._store(buffered))
+            if len(buffered) >= BUFFER_ROWS:
+                earliest = _least(earliest, self._append(buffered))
                 buffered = []
-        earliest = _least(earliest, self._store(buffered))
+        earliest = _least(earliest, self._append(buffered))
         if earliest is not None:
-            self.handle.registerTimer(earliest)
+            self.handle.registerTimer(_bucket(earliest))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         watermark = timerValues.getCurrentWatermarkInMs()
-        due, waiting = [], []
-        for chunk in self.pending.get():
-            if chunk[0] > watermark:
-                waiting.append(tuple(chunk))
-            else:
-                due += [tuple(r) for r in json.loads(chunk[1])]
-        if not due:
+        entries = sorted((tuple(e) for e in self.pending.get()), key=lambda e: e[0], reverse=True)
+        if not entries or _bucket(entries[-1][0]) > watermark:
             return
-        ready = [(r[:3], i, r) for i, r in enumerate(due) if _bucket(r[0]) <= watermark]
-        left = [r for r in due if _bucket(r[0]) > watermark]
-        heapq.heapify(ready)
-        added = len(due)
         for state in self.states:
             state.begin()
-        while ready:
-            (at, number, _), _, record = heapq.heappop(ready)
-            together = [(at, record[3])]
-            while ready and ready[0][0][:2] == (at, number):
-                together.append((at, heapq.heappop(ready)[2][3]))
+        left: list = []
+        ready = _Merge(self._open)
+        while True:
+            # Chunks are opened when the merge reaches their first record.
+            while entries and _bucket(entries[-1][0]) <= watermark and ready.reaches(entries[-1][0]):
+                ready.add_entry(entries.pop())
+            if ready.empty():
+                break
+            at, number = ready.next_due()
+            if _bucket(at) > watermark:
+                left += ready.rest()
+                break
+            together = ready.take(at, number)
             later = Later(number)
             for out in self.folds[number - 1](key[0], together, *self.states, later):
                 yield Row(**dict(zip(self.output_fields, out)))
-            for record in later.due:
-                # Not before what is being folded now: records are folded in due order.
-                record = (max(record[0], at), *record[1:])
-                if _bucket(record[0]) <= watermark:
-                    added += 1
-                    heapq.heappush(ready, (record[:3], added, record))
-                else:
-                    left.append(record)
+            # Not before what was just folded: records are folded in due order.
+            ready.add([(max(record[0], at), *record[1:]) for record in later.due])
         for state in self.states:
             state.flush()
-        waiting += _chunks(left)
+        waiting = entries + self._entries(left)
         if waiting:
             self.pending.put(waiting)
-            self.handle.registerTimer(min(chunk[0] for chunk in waiting))
+            self.handle.registerTimer(_bucket(min(e[0] for e in waiting)))
         else:
             self.pending.clear()
 
     def close(self) -> None:
         pass
 
-    def _store(self, records) -> int | None:
-        chunks = _chunks(records)
-        if chunks:
-            self.pending.appendList(chunks)
-        return min((chunk[0] for chunk in chunks), default=None)
-
-
-def _chunks(records: list) -> list[tuple]:
-    """Records in due order, cut into state rows; a chunk that is not due yet is never parsed."""
-    records = sorted(records, key=lambda r: r[:3])
-    parts = [records[i : i + CHUNK_ROWS] for i in range(0, len(records), CHUNK_ROWS)]
-    return [(_bucket(part[0][0]), json.dumps(part)) for part in parts]
+    def _append(self, records) -> int | None:
+        entries = self._entries(records)
+        if entries:
+            self.pending.appendList(entries)
+        return min((e[0] for e in entries), default=None)
+
+    def _entries(self, records) -> list[tuple]:
+        records = sorted(records, key=lambda r: r[:3])
+        chunks = [records[i : i + CHUNK_ROWS] for i in range(0, len(records), CHUNK_ROWS)]
+        if len(chunks) <= 1:
+            return [(chunk[0][0], -1, json.dumps(chunk)) for chunk in chunks]
+        entries, part = [], (self.last_part.get() or (0,))[0]
+        for chunk in chunks:
+            part += 1
+            self.parts.updateValue((part,), (json.dumps(chunk),))
+            entries.append((chunk[0][0], part, ""))
+        self.last_part.update((part,))
+        return entries
+
+    def _open(self, entry) -> list:
+        _, part, text = entry
+        if part >= 0:
+            text = self.parts.getValue((part,))[0]
+            self.parts.removeKey((part,))
+        return [tuple(r) for r in json.loads(text)]
+
+
+class _Merge:
+    """Merges chunks of records by (due time, input, order); holds only chunks it has reached."""
+
+    def __init__(self, open_entry):
+        self.open_entry = open_entry
+        self.heads, self.added = [], 0
+
+    def add_entry(self, entry) -> None:
+        self.add(self.open_entry(entry))
+
+    def add(self, records: list) -> None:
+        records = sorted(records, key=lambda r: r[:3])
+        self._push(iter(records))
+
+    def _push(self, records) -> None:
+        record = next(records, None)
+        if record is not None:
+            self.added += 1
+            heapq.heappush(self.heads, (record[:3], self.added, record, records))
+
+    def empty(self) -> bool:
+        return not self.heads
+
+    def reaches(self, first_us: int) -> bool:
+        return not self.heads or first_us <= self.heads[0][0][0]
+
+    def next_due(self) -> tuple[int, int]:
+        return self.heads[0][0][:2]
+
+    def take(self, at: int, number: int) -> list[tuple[int, dict]]:
+        taken = []
+        while self.heads and self.heads[0][0][:2] == (at, number):
+            _, _, record, records = heapq.heappop(self.heads)
+            taken.append((at, record[3]))
+            self._push(records)
+        return taken
+
+    def rest(self) -> list:
+        return [r for _, _, record, records in self.heads for r in (record, *records)]
 
 
 def _bucket(due_us: int) -> int:

@@ -16,7 +16,9 @@ END_OF_TIME = "2200-01-01 00:00:00"
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet folder (or file) as a stream, with the schema its files have.
 
-    The path is given as a pattern matching only itself: a plain path has to be a folder.
+    `files_per_trigger` is for logs whose files are in time order: files read later than their time
+    are behind the watermark. The path is given as a pattern matching only itself, because a plain
+    path has to be a folder.
     """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:

@@ -12,7 +12,7 @@ from bidflow.plans.oracle import ORACLE
 from bidflow.sources import tables
 from bidflow.streaming import folds, queries as sq
 from bidflow.streaming.registry import STREAMS, _with_end
-from bidflow.streaming.runs import read_stream, run_to_table
+from bidflow.streaming.runs import read_stream, run_to_table, scan_state
 
 
 @pytest.mark.parametrize("name", list(STREAMS))
@@ -56,6 +56,41 @@ def test_many_micro_batches_give_the_same_sums(spark, sf_dir, tmp_path):
     assert changelog.verify_equal(expected, found).count() == 0
 
 
+def test_busy_keys_are_merged_from_parts(spark, sf_dir, monkeypatch):
+    """Tiny chunks and buffers: every key has several overlapping parts; results stay the same."""
+    monkeypatch.setattr(folds, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(folds, "BUFFER_ROWS", 10)
+
+    def fold(key, due, state, later):
+        n = (state.get() or (0,))[0]
+        for us, row in due:
+            n += 1
+            yield (key, row["event_id"], n, us)
+        state.set((n,))
+
+    def build(end):
+        clicks = read_stream(spark, f"{sf_dir}/events.parquet")
+        events = _with_end(sq.with_timestamps(tables.clicks_of(clicks)), end).selectExpr(
+            "CAST(bidder % 3 AS BIGINT) AS k", "event_id", "date_time"
+        )
+        return folds.stateful_unary(
+            events, "k", "date_time", "event_id", fold, "k BIGINT, event_id BIGINT, n BIGINT, us BIGINT",
+            consume=lambda us, row: [(us + (row["event_id"] % 7) * 86_400_000_000, row)],
+        )
+
+    from bidflow.plans.words import time_ordered
+
+    found, checkpoint = run_to_table(spark, build, "parts")
+    due = tables.clicks(spark, sf_dir).selectExpr(
+        "CAST(bidder % 3 AS BIGINT) AS k", "event_id",
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', date_time) + (event_id % 7) * 86400000000L AS us",
+    )
+    expected = time_ordered(due, ["k"], ["us", "event_id"]).withColumnRenamed("position", "n").select("k", "event_id", "n", "us")
+    assert changelog.verify_equal(expected, found).count() == 0
+    assert scan_state(spark, checkpoint, "last_part").count() >= 3
+    assert scan_state(spark, checkpoint, "parts").count() == 0
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     rows = spark.sql(
         "SELECT id AS auction, id AS bidder, id AS price, timestamp_seconds(id * 10) AS date_time FROM range(100, 110)"
@@ -134,7 +169,6 @@ def test_folds_can_schedule_rows(spark, tmp_path):
 def test_streamed_closed_auctions_keep_nothing(spark, sf_dir):
     """After the end no auction is open any more."""
     from bidflow.streaming.registry import _closed
-    from bidflow.streaming.runs import scan_state
 
     rows, checkpoint = _closed(spark, sf_dir)
     assert rows.count() == q.closed_auctions(tables.auctions(spark, sf_dir), tables.bids(spark, sf_dir)).count()
