@@ -46,11 +46,6 @@ def is_small(*dfs: DataFrame) -> bool:
     return total < limit
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Proves a row bound by counting no further than one row past it."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def slice_count(df: DataFrame) -> int:
     """Range slices for a full sort: shuffle partitions, or more when the input is bigger."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -61,18 +56,21 @@ def slice_count(df: DataFrame) -> int:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint directory (a local one only if none is set)."""
+    """A new folder below the shared checkpoint directory."""
     base = shared_folder(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     local = tempfile.mkdtemp(prefix="bidflow-")
     spark.sparkContext.setCheckpointDir(local)
     return local
