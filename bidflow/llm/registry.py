@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from bidflow.llm import exact_dedup, pieces, token_counts
+from bidflow.llm import exact_dedup, fingerprints, language, mixing, pieces, token_counts
 
 QUERIES = {
+    "op2_language": language.op2_language,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 ORACLE = {"op5_exact_dedup": exact_dedup.ORACLE_OP5}
