@@ -12,12 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidflow.llm.shared import table, text_of
+from bidflow.llm.shared import join_groups, table, text_of
 from bidflow.operators.sizing import scratch_folder
 
-#: A group with more than this share of the rows is joined by broadcast; there are fewer than 1 / share of them.
-HOT_SHARE = 0.001
-
 
 def normalised(column: str = "text"):
     """The text with each run of white space as one space; null as empty."""
@@ -64,22 +61,10 @@ class DigestIndex:
         fresh = groups.select("digest", "keep_id").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         self._write(fresh.repartition(self.buckets, "digest"))
 
-        # A join on the digest would send a large group's rows to one task. The few groups above the
-        # share are joined where their rows are; no other group is large against a task.
-        total = digests.count()
-        hot = F.col("n") > max(1, int(total * HOT_SHARE))
-        marked = digests.join(
-            F.broadcast(groups.filter(hot).select("digest", "n", "keep_id", "known")), "digest", "left"
-        )
-        rest = marked.filter("n IS NULL").select("doc_id", "digest").join(groups.filter(~hot), "digest")
-        columns = ["doc_id", "digest", "n", "keep_id", "known"]
-        return (
-            marked.filter("n IS NOT NULL").select(columns).unionByName(rest.select(columns))
-            .select(
-                "doc_id", "keep_id", F.col("n").alias("group_size"),
-                (~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-                F.col("digest").alias("text_sha256"),
-            )
+        return join_groups(digests, groups, "digest", "n", digests.count()).select(
+            "doc_id", "keep_id", F.col("n").alias("group_size"),
+            (~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+            F.col("digest").alias("text_sha256"),
         )
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from bidflow.llm import exact_dedup, fingerprints, language, mixing, pieces, token_counts
+from bidflow.llm import exact_dedup, fingerprints, language, mixing, near_dedup, pieces, token_counts, warc
 
 QUERIES = {
     "op2_language": language.op2_language,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_warc": warc.op6_warc,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
-ORACLE = {"op5_exact_dedup": exact_dedup.ORACLE_OP5}
+ORACLE = {"op5_exact_dedup": exact_dedup.ORACLE_OP5, "op6_warc": warc.ORACLE_OP6}

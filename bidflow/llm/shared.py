@@ -130,3 +130,20 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of a text column; one row reaches the driver."""
     return docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
+
+
+#: A group with more than this share of the rows is joined by broadcast; there are fewer than 1 / share of them.
+HOT_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of rows with their groups (one row per key, with its number of rows), safe for hot keys.
+
+    A join on the key would send a large group's rows to one task. The groups above a share of the
+    rows are few by arithmetic and are joined where their rows are; no other group is large against a task.
+    """
+    hot = F.col(count) > max(1, int(total * HOT_SHARE))
+    marked = rows.join(F.broadcast(groups.filter(hot)), key, "left")
+    rest = marked.filter(F.col(count).isNull()).select(rows.columns).join(groups.filter(~hot), key)
+    found = marked.filter(F.col(count).isNotNull())
+    return found.unionByName(rest.select(found.columns))
