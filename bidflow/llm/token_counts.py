@@ -10,13 +10,16 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from bidflow.llm.shared import pieces, table, text_of
 
-#: Pre-tokens kept per task beside the proven ones.
-TABLE_WORDS = 300_000
+#: Pre-tokens kept per task beside the proven ones, and the longest one kept.
+TABLE_WORDS = 400_000
+LONGEST_KEPT = 64
+PIECE = 1 << 20
 #: Texts of these characters are split here; the library takes the others whole, since Unicode tables differ
 #: between versions of libraries. Covers Latin letters and general punctuation.
 PLAIN = r"[\x00-ɏ̀-ͯḀ-ỿ‐-‧‰-⁞₠-₿]*"
@@ -48,7 +51,7 @@ def whole_tokens(tokenizer, vocabulary: dict[str, int], suffix: str) -> frozense
 class Counter:
     """Counts tokens of texts exactly as the library does."""
 
-    def __init__(self, definition: str, proven: frozenset[str], split: bool, special: tuple[str, ...]):
+    def __init__(self, definition: str, proven: frozenset[str], split: bool, special: tuple[str, ...], suffix: str):
         import regex
         from tokenizers import Tokenizer
 
@@ -57,25 +60,39 @@ class Counter:
         self.library.no_padding()
         self.proven, self.split, self.special = proven, split, special
         self.words, self.plain = regex.compile(WORDS), regex.compile(PLAIN)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for name, i in vocabulary.items() if suffix and name.endswith(suffix)]] = True
         self.merged: dict[str, int] = {}
 
     def whole(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)
 
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if not self.split or not self.plain.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        found = self.words.findall(unicodedata.normalize("NFC", text).lower())
-        proven, merged = self.proven, self.merged
-        rest = [w for w in found if w not in proven]
-        for word in set(rest).difference(merged):
-            merged[word] = self.whole(word)
-        n = len(found) - len(rest) + sum(map(merged.__getitem__, rest))
-        if len(merged) > TABLE_WORDS:
-            merged.clear()
-        return n
+    def merge(self, words: list[str]) -> dict[str, int]:
+        """Token counts of pre-tokens, encoded together: the last token of each ends with the suffix."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) if len(ids) else ids
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids) - 1):
+            return {w: self.whole(w) for w in words}
+        return dict(zip(words, np.diff(ends, prepend=-1).tolist()))
+
+    def counts(self, texts: list[str]) -> list[int]:
+        out, split = [0] * len(texts), {}
+        proven, known = self.proven, self.merged
+        for i, text in enumerate(texts):
+            if not self.split or not self.plain.fullmatch(text) or any(s in text for s in self.special):
+                out[i] = self.whole(text)
+            else:
+                found = self.words.findall(unicodedata.normalize("NFC", text).lower())
+                rest = [w for w in found if w not in proven]
+                out[i] = len(found) - len(rest)
+                split[i] = rest
+        new = self.merge(list(set().union(*split.values()).difference(known)))
+        for i, rest in split.items():
+            out[i] += sum([known[w] if w in known else new[w] for w in rest])
+        room = TABLE_WORDS - len(known)
+        known.update(item for item in list(new.items())[: max(0, room)] if len(item[0]) <= LONGEST_KEPT)
+        return out
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
@@ -97,10 +114,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     proven = whole_tokens(Tokenizer.from_str(definition), parts["model"]["vocab"], suffix) if split else frozenset()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(definition, proven, split, special)
-        for batch in pieces(batches, "text"):
+        counter = Counter(definition, proven, split, special, suffix)
+        for batch in pieces(batches, "text", PIECE):
             texts = batch.column(1).to_pylist()
-            n = [counter.count(t) for t in texts]
+            n = counter.counts(texts)
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
