@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidflow.llm.shared import pieces, table, text_of
 
@@ -156,9 +157,10 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], [*part.schema.names[:-1], "lang_pred", "score", "shares"])
 
     kept = docs.drop("lang_pred", "score", "shares", "_text")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("shares", T.MapType(T.StringType(), T.DoubleType()))]
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(*a) for a in added]])
     source = kept.withColumn("_text", text_of() if "text" in docs.columns else F.lit(""))
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, shares map<string,double>"]))
+    return source.mapInArrow(run, schema)
 
 
 def held_out():

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from bidflow.llm import exact_dedup, fingerprints, language, mixing, near_dedup, pieces, token_counts, warc
+from bidflow.llm import (
+    exact_dedup,
+    fingerprints,
+    language,
+    mixing,
+    near_dedup,
+    passage_dedup,
+    pieces,
+    substring_dedup,
+    token_counts,
+    warc,
+)
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_language": language.op2_language,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_passage_dedup": passage_dedup.op4_passage_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_warc": warc.op6_warc,
     "op7_token_counts": token_counts.op7_token_counts,

@@ -1,13 +1,77 @@
-"""A corpus from raw documents: language, exact copies, near copies, mixture, token ids."""
+"""A training corpus from raw documents: language, exact copies, near copies, mixture, token ids.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written and read again before the next
+one. All but the last keep the columns of documents. Empty tables pass through as empty tables.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bidflow.llm import exact_dedup, language, mixing, near_dedup, pieces
+from bidflow.operators.sizing import scratch_folder
+
+#: Documents whose language has a smaller share of the text than this, or no language, go.
+LEAST_SCORE = 0.5
+#: Percent of shingles in common from which documents are near copies.
+SIMILARITY = 80
+#: SQL cannot express the language model nor the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with one predominant language; learns from the labels of those not held out."""
+    langs, model = language.train(docs.filter(~language.held_out()))
+    seen = language.identify(docs.select(F.struct("*").alias("doc"), "text"), langs, model)
+    return seen.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of equal texts; of rows that repeat it, one."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    digest = F.sha2(exact_dedup.normalised(), 256)
+    found = docs.join(
+        kept.agg(F.count("*").alias("_rows")), F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    )
+    once = found.filter("_rows = 1").unionByName(found.filter("_rows > 1").dropDuplicates(["_id", "_digest"]))
+    return once.select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each component, and those without a doc_id."""
+    gone = near_dedup.near_dedup(docs, SIMILARITY).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it, to the nearest whole number; zero drops it."""
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    copies = F.floor(F.col("_taken") / F.greatest("_size", F.lit(1)) + 0.5).cast("int")
+    found = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copies", copies).filter("_copies > 0")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, the end id last, with digests of ids and of the decoded text."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language identification", by_language),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("mixing", mixed),
+    ("encoding", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = scratch_folder(spark, "pipeline")
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{folder}/{number}")
+        docs = spark.read.schema(made.schema).parquet(f"{folder}/{number}")
+    return STAGES[-1][1](spark, docs, sf_dir)
