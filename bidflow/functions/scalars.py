@@ -64,3 +64,23 @@ def event_time() -> Column:
 def event_key() -> Column:
     """Key of a tagged event row. Bids have no id of their own: their key is the auction."""
     return F.coalesce("person.id", "auction.id", "bid.auction")
+
+
+def two_longs(first: Column, second: Column) -> Column:
+    """Two integers as one decimal in the order of (first, second), the first below 10**17 in size.
+
+    The maximum of a decimal is a hash aggregate, that of a struct sorts its input.
+    """
+    return (
+        first.cast("decimal(17,0)") * F.lit("100000000000000000000").cast("decimal(21,0)")
+        + (second.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)"))
+    ).cast("decimal(38,0)")
+
+
+def first_long(packed: str) -> Column:
+    return F.floor(F.col(packed) / F.lit("100000000000000000000").cast("decimal(21,0)")).cast("bigint")
+
+
+def second_long(packed: str) -> Column:
+    rest = F.pmod(F.col(packed), F.lit("100000000000000000000").cast("decimal(21,0)"))
+    return (rest - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("bigint")

@@ -1,16 +1,16 @@
 """Running values over ordered rows per key, without putting a key's rows into one task.
 
-Large inputs are range-partitioned by (keys, order), so a hot key covers many slices. Each slice
-computes its own running values, and a small table carries the totals of earlier slices forward.
-Between two neighbouring slices at most one key continues, so that table has fewer rows than there
-are slices, whatever the data looks like.
+Inputs larger than a slice are cut by (keys, order) at bounds found in one pass over those columns, so
+a hot key covers many slices. Rows are shuffled once, by key and slice. Each slice computes its own
+running values, and a small table carries the totals of earlier slices forward. Between two neighbouring
+slices at most one key continues, so that table has fewer than two rows per slice, whatever the data.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bidflow.operators.sizing import is_small, materialize, slice_count
+from bidflow.operators.sizing import slice_count
 
 
 def _cols(names):
@@ -56,15 +56,16 @@ def running(
                for (g, n), c in inputs.items()]
     )
 
-    if slices is None and is_small(df):
+    bounds = _bounds(df, keys, order, slices or slice_count(df))
+    if not bounds:
         return _scan(prepared, keys, order, inputs).select(*columns, *[n for _, n in inputs])
 
-    sliced = materialize(
-        prepared.repartitionByRange(slices or slice_count(df), *_cols(keys), *_cols(order))
-        .withColumn("_slice", F.spark_partition_id())
-    )
-    carried = _carried(sliced, keys, order, inputs)
-    local = _scan(sliced.join(F.broadcast(carried), [*keys, "_slice"], "left"), ["_slice", *keys], order, inputs)
+    sliced, at_edge = _sliced(prepared, keys, order, bounds)
+    carried = _carried(sliced.where(at_edge), keys, order, inputs)
+    same = F.col("_slice") == F.col("_carry_slice")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_carry_key_{k}"))
+    local = _scan(sliced.join(F.broadcast(carried), same, "left"), [*keys, "_slice"], order, inputs)
     out = []
     for (group, name), _ in inputs.items():
         carry = F.col(f"_carry_{group}_{name}")
@@ -80,6 +81,60 @@ def running(
     return local.select(*columns, *out)
 
 
+def _bounds(df, keys, order, slices):
+    """The first (keys, order) of every slice but the first, as literals; ascending.
+
+    One pass over the key and order columns only. The driver gets one row per slice.
+    """
+    if slices <= 1:
+        return []
+    names = [*keys, *order]
+    first = (
+        df.select(*names).repartitionByRange(slices, *_cols(names))
+        .groupBy(F.spark_partition_id().alias("_part")).agg(F.min(F.struct(*names)).alias("low")).select("low.*")
+    )
+    first = first.orderBy(*names)
+    plain = first.select(*[_to_plain(f).alias(f.name) for f in first.schema.fields])
+    rows = [[_from_plain(F.lit(v), f) for v, f in zip(row, first.schema.fields)] for row in plain.collect()]
+    return [F.struct(*[c.alias(n) for c, n in zip(row, names)]) for row in rows[1:]]
+
+
+def _to_plain(field):
+    """A column as something that comes back from Python exactly."""
+    kind = field.dataType.simpleString()
+    column = F.col(field.name)
+    return F.unix_micros(column) if kind == "timestamp" else column.cast("string") if kind == "timestamp_ntz" else column
+
+
+def _from_plain(value, field):
+    kind = field.dataType.simpleString()
+    return F.timestamp_micros(value.cast("bigint")) if kind == "timestamp" else value.cast(field.dataType)
+
+
+def _sliced(df, keys, order, bounds):
+    """Adds `_slice`, the number of bounds at or below a row, by binary search; and whether the
+    row's key is also that of a bound next to its slice, without which no other slice has the key."""
+    literals = F.array(*bounds)
+    here = F.struct(*_cols([*keys, *order]))
+    steps = [1 << b for b in reversed(range(len(bounds).bit_length()))]
+
+    def step(at, width):
+        ahead = at + width
+        return F.when((ahead <= len(bounds)) & (F.element_at(literals, ahead) <= here), ahead).otherwise(at)
+
+    found = df.withColumn("_slice", F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step))
+    if not keys:
+        return found, F.lit(True)
+
+    def key_of(at):
+        bound = F.element_at(literals, at)
+        return F.struct(*[bound[k].alias(k) for k in keys])
+
+    own = F.struct(*_cols(keys))
+    low, high = F.greatest("_slice", F.lit(1)), F.least(F.col("_slice") + 1, F.lit(len(bounds)))
+    return found, own.eqNullSafe(key_of(low)) | own.eqNullSafe(key_of(high))
+
+
 def _scan(df, keys, order, inputs):
     forward = Window.partitionBy(*keys).orderBy(*order)
     to_here = forward.rowsBetween(Window.unboundedPreceding, 0)
@@ -134,7 +189,7 @@ def _carried(sliced, keys, order, inputs):
     return (
         per_slice.withColumn("_touched", F.count(F.lit(1)).over(all_slices))
         .where("_touched > 1")
-        .select(*keys, "_slice", *carries)
+        .select(*[F.col(k).alias(f"_carry_key_{k}") for k in keys], F.col("_slice").alias("_carry_slice"), *carries)
     )
 
 
@@ -150,15 +205,17 @@ def last_n_sums(
 ) -> DataFrame:
     """Adds sums over the last `n` rows per key (the row included).
 
-    Large inputs: rows are numbered per key, cut into blocks of `block` rows, and the last n - 1
-    rows of a block are repeated at the head of the next one. Groups then have a fixed size.
+    Inputs larger than a slice: rows are numbered per key, cut into blocks of `block` rows (n at
+    least), and the last n - 1 rows of a block are repeated at the head of the next one. Groups then
+    have a fixed size.
     """
     columns = df.columns
-    if slices is None and is_small(df):
+    slices, block = slices or slice_count(df), max(block, n)
+    if slices == 1:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
         return df.withColumns({name: F.sum(value).over(frame) for name, value in sums.items()})
 
-    ranked = running(df, keys, order, rank="_rank", slices=slices or slice_count(df))
+    ranked = running(df, keys, order, rank="_rank", slices=slices)
     number = F.expr(f"(_rank - 1) div {block}")
     is_tail = (F.col("_rank") - 1) % block > block - n
     homes = F.when(is_tail, F.array(number, number + 1)).otherwise(F.array(number))

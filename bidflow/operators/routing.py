@@ -26,7 +26,7 @@ def initial_map(spark: SparkSession, bins: int, workers: int) -> DataFrame:
 
 
 def control_violations(control: DataFrame) -> DataFrame:
-    """Times whose messages disagree on their sequence number or do not number `count`.
+    """Times whose messages disagree on their sequence number or on `count`, or do not number `count`.
 
     One message per (ts, sequence, msg); `count` is what each message says to expect at its time.
     """
@@ -34,10 +34,12 @@ def control_violations(control: DataFrame) -> DataFrame:
     per_time = messages.groupBy("ts").agg(
         F.count(F.lit(1)).alias("messages"),
         F.max("count").alias("expected"),
+        F.min("count").alias("least_expected"),
         F.min("sequence").alias("min_sequence"),
         F.max("sequence").alias("max_sequence"),
     )
-    return per_time.where("messages != expected OR min_sequence != max_sequence")
+    wrong = "messages != expected OR least_expected != expected OR min_sequence != max_sequence"
+    return per_time.where(wrong).drop("least_expected")
 
 
 def control_history(control: DataFrame, initial: DataFrame) -> DataFrame:
@@ -64,12 +66,14 @@ def distribute(records: DataFrame, bin_of: Column, time: str, history: DataFrame
     """Adds `bin`, `worker` and `valid_from` of the map version in force at each record's time.
 
     A history counted to be small is broadcast: the records are not shuffled at all. A longer one
-    is merged with the records in one ordered pass per bin, safe for hot bins.
+    is merged with the records in one ordered pass per bin, safe for hot bins. Records without a bin or a
+    time, and those whose bin the history does not know, are dropped either way.
     """
     if _is_short(history):
         intervals = F.broadcast(history.withColumnRenamed("bin", "_bin"))
         in_force = (
             (F.col("bin") == F.col("_bin"))
+            & F.col(time).isNotNull()
             & (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col(time)))
             & (F.col("valid_to").isNull() | (F.col(time) < F.col("valid_to")))
         )
@@ -103,9 +107,10 @@ def _distribute_ordered(records, bin_of, time, history):
     )
     merged = rows.withColumn("_version", F.lit(None).cast(version_type)).unionByName(versions)
     found = running(
-        merged, ["bin"], ["_at", "_tag", "_spread"], latest={"_found": F.col("_version")}
+        merged.where("bin IS NOT NULL AND (_tag = 0 OR _at IS NOT NULL)"), ["bin"], ["_at", "_tag", "_spread"],
+        latest={"_found": F.col("_version")},
     )
-    return found.where("_tag = 1").select(
+    return found.where("_tag = 1 AND _found IS NOT NULL").select(
         *[F.col(f"_record.{c}").alias(c) for c in columns],
         "bin",
         F.col("_found.worker").alias("worker"),

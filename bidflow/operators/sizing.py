@@ -6,15 +6,15 @@ inputs whose scanned bytes are known to be small, and a skew-proof one for every
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL_INPUT_CONF = "spark.bidflow.smallInputBytes"
 SMALL_INPUT_BYTES = 64 << 20
+SLICE_CONF = "spark.bidflow.sliceBytes"
 SLICE_BYTES = 128 << 20
-MAX_SLICES = 100_000
+MAX_SLICES = 16_384
 UNKNOWN_BYTES = 1 << 60
 
 
@@ -47,12 +47,17 @@ def is_small(*dfs: DataFrame) -> bool:
 
 
 def slice_count(df: DataFrame) -> int:
-    """Range slices for a full sort: shuffle partitions, or more when the input is bigger."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Slices for running values: one per `sliceBytes` scanned, or one per shuffle partition if unknown.
+
+    Slices only divide keys with more rows than fit one; hashing by key and slice spreads all others.
+    The bounds are literals of the plan, so there are at most MAX_SLICES: up to 2 TB a slice has 128 MB, and
+    beyond that a key that holds everything has slices that grow with the input.
+    """
+    spark = df.sparkSession
     size = scanned_bytes(df)
     if size is None or size >= UNKNOWN_BYTES:
-        return configured
-    return min(max(configured, -(-size // SLICE_BYTES)), MAX_SLICES)
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, min(-(-size // int(spark.conf.get(SLICE_CONF, str(SLICE_BYTES)))), MAX_SLICES))
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -62,18 +67,9 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="bidflow-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset, one in the shared warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def materialize(df: DataFrame) -> DataFrame:

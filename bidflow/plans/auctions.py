@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from bidflow.functions.scalars import to_euro_cents, truncated_mean
+from bidflow.functions.scalars import first_long, micros_of, second_long, to_euro_cents, truncated_mean, two_longs
 from bidflow.operators.changelog import consolidate
 from bidflow.operators.ordered import last_n_sums, running
 from bidflow.operators.skew import balanced_join
@@ -31,8 +31,12 @@ def q1(bids: DataFrame) -> DataFrame:
     return bids.select("auction", "bidder", to_euro_cents("price").alias("price"), "date_time")
 
 
+def q2_auctions(skip: int = SKIP):
+    return F.col("auction") % skip == 0
+
+
 def q2(bids: DataFrame, skip: int = SKIP) -> DataFrame:
-    return bids.where(F.col("auction") % skip == 0).select("auction", "price")
+    return bids.where(q2_auctions(skip)).select("auction", "price")
 
 
 # -- q3: local item suggestion -------------------------------------------------------------------
@@ -72,8 +76,8 @@ def q3_latest(auctions: DataFrame, people: DataFrame) -> DataFrame:
     own_group = F.when(F.col("opened") > F.col("joined"), F.col("auction"))
     return (
         pairs.groupBy("person", own_group.alias("_later"), "name", "city", "state")
-        .agg(F.max(F.struct("opened", "auction")).alias("last"))
-        .select("name", "city", "state", F.col("last.auction").alias("auction"))
+        .agg(F.max(two_longs(micros_of("opened"), F.col("auction"))).alias("last"))
+        .select("name", "city", "state", second_long("last").alias("auction"))
     )
 
 
@@ -236,11 +240,8 @@ def sliding_counts(bids: DataFrame, slices: int = 60, slide_seconds: int = 1) ->
 
 
 def _busiest(counts: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        counts.groupBy(*keys)
-        .agg(F.max(F.struct("bids", "auction")).alias("top"))
-        .select(*keys, F.col("top.auction").alias("auction"), F.col("top.bids").alias("bids"))
-    )
+    top = F.max(two_longs(F.col("bids"), F.col("auction"))).alias("top")
+    return counts.groupBy(*keys).agg(top).select(*keys, second_long("top").alias("auction"), first_long("top").alias("bids"))
 
 
 def q5(bids: DataFrame, slices: int = 60, slide_seconds: int = 1) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bidflow.sources import synth
-
 # The auction model over the driver's tables.
 VIEWS = {
     "auctions": """SELECT o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) // 10 AS initial_bid,
@@ -96,40 +94,6 @@ def _branches():
     )
 
 
-def _uniform(salt, bound):
-    return synth.uniform("e", salt, bound).replace(" div ", " // ")
-
-
-def _price(salt):
-    return f"CAST(round(pow(10.0::DOUBLE, (({synth.mix('e', salt).replace(' div ', ' // ')}) / 2147483648.0::DOUBLE) * 6.0) * 100.0) AS BIGINT)"
-
-
-def _pick(values, salt):
-    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{_uniform(salt, len(values))} + 1]"
-
-
-def _synth_events():
-    return f"""WITH n AS (SELECT event_id AS e, e % 50 AS o, e // 50 AS p FROM events),
-    k AS (SELECT *, CASE WHEN o < 1 THEN 'Person' WHEN o < 4 THEN 'Auction' ELSE 'Bid' END AS type,
-        e * 1000000 AS time_ns, least(p + 1, 1000) AS act,
-        CASE WHEN o >= 1 THEN p * 3 + least(o - 1, 2) END AS a FROM n),
-    m AS (SELECT *, greatest(a - 100, 0) AS old, p + 1 - act + {_uniform(1, 'act + 10')} AS np,
-        p // 100 * 100 AS hp FROM k)
-    SELECT e AS event_number, type, CASE type WHEN 'Person' THEN p + 1000 WHEN 'Auction' THEN a + 1000 END AS id, time_ns,
-        CASE type WHEN 'Person' THEN {_pick(synth.CITIES, 7)} END AS city,
-        CASE type WHEN 'Person' THEN {_pick(synth.STATES, 8)} END AS state,
-        CASE type WHEN 'Auction' THEN {_price(9)} END AS initial_bid,
-        CASE type WHEN 'Auction' THEN {_price(9)} + {_price(10)} END AS reserve,
-        CASE type WHEN 'Auction' THEN time_ns + 1 + {_uniform(6, 2 * 1666 * 1000000)} END AS expires_ns,
-        CASE type WHEN 'Auction' THEN CASE WHEN {_uniform(3, 4)} > 0 THEN hp ELSE np END + 1000 END AS seller,
-        CASE type WHEN 'Auction' THEN 10 + {_uniform(11, 5)} END AS category,
-        CASE type WHEN 'Bid' THEN CASE WHEN {_uniform(4, 2)} > 0 THEN a // 100 * 100
-            ELSE old + {_uniform(2, 'a - old + 1 + 10')} END + 1000 END AS auction,
-        CASE type WHEN 'Bid' THEN CASE WHEN {_uniform(5, 4)} > 0 THEN hp + 1 ELSE np END + 1000 END AS bidder,
-        CASE type WHEN 'Bid' THEN {_price(12)} END AS price
-    FROM m"""
-
-
 def _q8(people_view):
     return sql(
         f"SELECT a.seller FROM auctions a JOIN {people_view} p ON a.seller = p.id "
@@ -178,9 +142,6 @@ ORACLE: dict[str, str] = {
         "UNION ALL SELECT 'bid', auction, CAST(bidder AS VARCHAR), date_time, price FROM bids",
         "people", "auctions", "bids",
     ),
-    "synth_events": _synth_events(),
-    "synth_words": f"""SELECT CAST(NULL AS BIGINT) AS row, k AS key, CAST(1 AS BIGINT) AS val FROM range(500) r(k)
-        UNION ALL SELECT e, {_uniform(20, 500)}, 1 FROM (SELECT event_id AS e FROM events)""",
     "control_log_scan": sql("SELECT * FROM control", "control"),
     "result_log_scan": sql(
         """SELECT run, CASE event_type WHEN 'click' THEN 'latency_ccdf' WHEN 'view' THEN 'statm_RSS' WHEN 'purchase' THEN 'migration_done'
@@ -246,7 +207,7 @@ ORACLE: dict[str, str] = {
     "distribute": sql("SELECT event_id, ts, user_id, bin, worker FROM routed", "routed"),
     "q0_routed": sql("SELECT worker, user_id AS key, event_id, event_type, value FROM routed", "routed"),
     "q1_routed": sql("SELECT worker, auction AS key, event_id, price * 89 // 100 AS price FROM routed_clicks", "routed_clicks"),
-    "q2_routed": sql("SELECT worker, auction AS key, price FROM routed_clicks WHERE auction % 7 = 0", "routed_clicks"),
+    "q2_routed": sql("SELECT auction % 8 % 4 AS worker, auction AS key, price FROM bids WHERE auction % 123 = 0", "bids"),
     "q4": sql("SELECT category, CAST(sum(price) // count(*) AS BIGINT) AS avg_price FROM closed GROUP BY category", "closed"),
     "q4_sum_count": sql(
         "SELECT category, CAST(sum(price) AS BIGINT) AS total, count(*) AS auctions FROM closed GROUP BY category", "closed"
@@ -298,9 +259,10 @@ ORACLE: dict[str, str] = {
         FROM (SELECT ts, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS key FROM events)""",
     "control_history": sql("SELECT bin, worker, valid_from, valid_to FROM history", "history"),
     "control_violations": sql(
-        """SELECT * FROM (SELECT epoch_us(date_time) // 3600000000 AS ts, count(*) AS messages, max(1 + auction % 20) AS expected,
-        min(price // 10000) AS min_sequence, max(price // 10000) AS max_sequence FROM clicks GROUP BY 1)
-        WHERE messages <> expected OR min_sequence <> max_sequence""",
+        """SELECT * EXCLUDE (least) FROM (SELECT epoch_us(date_time) // 3600000000 AS ts, count(*) AS messages,
+        max(1 + auction % 20) AS expected, min(1 + auction % 20) AS least, min(price // 10000) AS min_sequence,
+        max(price // 10000) AS max_sequence FROM clicks GROUP BY 1)
+        WHERE messages <> expected OR least <> expected OR min_sequence <> max_sequence""",
         "clicks",
     ),
     "moved_bins": sql(
@@ -313,9 +275,11 @@ ORACLE: dict[str, str] = {
     ),
     "time_ordered": "SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events",
     "multiset_concat": sql(
-        "SELECT auction, bidder, CAST(1 AS BIGINT) AS diff FROM clicks WHERE event_type IN ('click', 'purchase')", "clicks"
+        """SELECT key, event_id, CAST(sum(diff) AS BIGINT) AS diff FROM (SELECT auction AS key, event_id, 1 AS diff FROM clicks
+        UNION ALL SELECT bidder, event_id, -1 FROM clicks) GROUP BY key, event_id HAVING sum(diff) <> 0""",
+        "clicks",
     ),
-    "multiset_negate": sql("SELECT auction, bidder, CAST(-1 AS BIGINT) AS diff FROM clicks WHERE event_type = 'click'", "clicks"),
+    "multiset_negate": sql("SELECT auction AS key, event_id, CAST(-1 AS BIGINT) AS diff FROM clicks", "clicks"),
     "sliding_changelog": sql(
         """SELECT auction, time, CAST(sum(diff) AS BIGINT) AS diff FROM (SELECT auction, slot_end AS time, bids AS diff FROM slots
         UNION ALL SELECT auction, slot_end + INTERVAL 24 HOUR, -bids FROM slots) GROUP BY ALL HAVING sum(diff) <> 0""",

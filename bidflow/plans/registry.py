@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bidflow.functions import scalars
 from bidflow.operators import changelog, joins, latency, routing
+from bidflow.operators.ordered import running
 from bidflow.operators.sizing import scratch_folder
 from bidflow.plans import auctions as q
 from bidflow.plans import words as w
-from bidflow.sources import logs, synth, tables
+from bidflow.sources import logs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +25,6 @@ Q8_WINDOW = 90 * DAY
 BIN_SHIFT = 3
 WORKERS = 4
 PEERS = 4
-WORD_DOMAIN = 500
 
 
 def query(fn: Query) -> Query:
@@ -91,16 +91,6 @@ def auction_views(spark, d):
     )
 
 
-@query
-def synth_events(spark, d):
-    return synth.synth_events(tables.table(spark, d, "events").select("event_id"), "event_id")
-
-
-@query
-def synth_words(spark, d):
-    return synth.synth_words(tables.table(spark, d, "events").select("event_id"), "event_id", WORD_DOMAIN)
-
-
 def control_lines(spark, d) -> DataFrame:
     """A control log that grows with the events: some sign-ups set a full map, every error moves two bins."""
     e = tables.clicks(spark, d).withColumn("t", scalars.micros_of("date_time"))
@@ -192,7 +182,7 @@ def slot_end(spark, d):
 
 @query
 def time_shift(spark, d):
-    opened = changelog.as_changelog(tables.auctions(spark, d).select("id", "expires"), F.col("expires"))
+    opened = changelog.as_changelog(tables.auctions(spark, d).select("id", "date_time", "expires"), F.col("date_time"))
     return changelog.shift_time(opened, F.col("expires")).select("id", "time", "diff")
 
 
@@ -317,9 +307,10 @@ def q1_routed(spark, d):
 
 @query
 def q2_routed(spark, d):
-    """On events the auction ids stay below 100, so every seventh id is kept."""
-    kept = _routed_clicks(spark, d).where(F.col("auction") % 7 == 0)
-    return kept.select("worker", F.col("auction").alias("key"), "price")
+    """Bids of q2, routed by their auction."""
+    bids = tables.bids(spark, d)
+    routed = routing.distribute(bids, scalars.bin_of_dense("auction", BIN_SHIFT), "date_time", fixture_history(spark))
+    return routed.where(q.q2_auctions()).select("worker", F.col("auction").alias("key"), "price")
 
 
 # -- aggregations --------------------------------------------------------------------------------
@@ -436,6 +427,15 @@ def moved_bins(spark, d):
     return routing.moved_bins(history, routed)
 
 
+@query
+def event_timers(spark, d):
+    """Every event delivered `price` seconds after its time, in due order per user: its due time and position."""
+    due = tables.clicks(spark, d).select(
+        F.col("bidder").alias("user_id"), "event_id", (scalars.micros_of("date_time") + F.col("price") * 1_000_000).alias("due_us")
+    )
+    return running(due, ["user_id"], ["due_us", "event_id"], rank="position")
+
+
 @query
 def time_ordered(spark, d):
     e = tables.table(spark, d, "events").select("event_type", "ts", "event_id")
@@ -445,19 +445,23 @@ def time_ordered(spark, d):
 # -- multisets -----------------------------------------------------------------------------------
 
 
-def _signed(spark, d, event_type, diff):
-    e = tables.clicks(spark, d).where(F.col("event_type") == event_type)
-    return changelog.as_changelog(e, F.col("date_time"), diff).select("auction", "bidder", "diff")
+def _signed(spark, d, of_auction):
+    """All events as insertions keyed by auction or, as a second collection, by bidder."""
+    e = tables.clicks(spark, d)
+    key = F.col("auction" if of_auction else "bidder")
+    return changelog.as_changelog(e, F.col("date_time")).select(key.alias("key"), "event_id", "diff")
 
 
 @query
 def multiset_concat(spark, d):
-    return changelog.concat(_signed(spark, d, "click", 1), _signed(spark, d, "purchase", 1))
+    """Events by auction, without those by bidder: what stays are events whose two keys differ, twice."""
+    changes = changelog.concat(_signed(spark, d, True), changelog.negate(_signed(spark, d, False)))
+    return changelog.consolidate(changes)
 
 
 @query
 def multiset_negate(spark, d):
-    return changelog.negate(_signed(spark, d, "click", 1))
+    return changelog.negate(_signed(spark, d, True))
 
 
 @query

@@ -59,7 +59,8 @@ def parse_control_lines(lines: DataFrame) -> DataFrame:
 
     `msg` numbers the messages of a line: a map is one message, every move is one. All messages of
     a time share a sequence number; the log has one line per time, so the time serves as one.
-    A line that starts with any other letter is an error.
+    A move line without moves has no rows. A line that starts with any other letter, or a move without
+    its worker, is an error.
     """
     words = F.split(F.trim("value"), r"\s+")
     parsed = lines.where(F.length(F.trim("value")) > 0).select(
@@ -69,16 +70,16 @@ def parse_control_lines(lines: DataFrame) -> DataFrame:
     )
     checked = parsed.withColumn(
         "kind",
-        F.when(F.col("kind").isin("M", "D"), F.col("kind")).otherwise(
-            F.raise_error(F.concat(F.lit("unknown control line: "), F.col("kind")))
-        ),
+        F.when(~F.col("kind").isin("M", "D"), F.raise_error(F.concat(F.lit("unknown control line: "), F.col("kind"))))
+        .when((F.col("kind") == "D") & (F.size("args") % 2 == 1), F.raise_error(F.lit("a move without its worker")))
+        .otherwise(F.col("kind")),
     )
     size = F.size("args")
     map_rows = F.transform(
         "args", lambda w, i: F.struct(i.cast("bigint").alias("pos"), i.cast("bigint").alias("bin"), w.alias("worker"))
     )
     move_rows = F.transform(
-        F.sequence(F.lit(0), (size / 2).cast("int") - 1),
+        F.when(size >= 2, F.sequence(F.lit(0), (size / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
             i.cast("bigint").alias("pos"),
             F.get("args", 2 * i).alias("bin"),

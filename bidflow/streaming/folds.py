@@ -263,6 +263,8 @@ def _run(inputs, delay, consume, folds, values, items, output):
     processor = _TimedFold(consume, folds, values, items, names)
     return (
         merged.withWatermark("_time", delay)
+        # Only the watermark needs the time; the end marker's is beyond what Python's datetime holds.
+        .drop("_time")
         .groupBy("key")
         .transformWithState(
             statefulProcessor=processor, outputStructType=StructType.fromDDL(output), outputMode="Append", timeMode="EventTime"
@@ -315,19 +317,3 @@ def stateful_binary(
         _tagged(df, k, t, o, n) for n, (df, k, t, o) in enumerate(zip((left, right), keys, times, orders), 1)
     ]
     return _run(inputs, delay, list(consume), list(folds), list(values), list(items), output)
-
-
-def event_timers(df: DataFrame, key: str, time: str, order: str, due: Callable[[int, dict], int], delay: str = "0 seconds") -> DataFrame:
-    """Delivers each row once, at `due(us, row)`, after the watermark passed it and in due order per key."""
-
-    def deliver(key, rows, state, later):
-        position = (state.get() or (0,))[0]
-        for at, row in rows:
-            position += 1
-            yield (key, at, position, json.dumps(row))
-        state.set((position,))
-
-    return stateful_unary(
-        df, key, time, order, deliver, "key BIGINT, due_us BIGINT, position BIGINT, payload STRING",
-        consume=lambda us, row: [(due(us, row), row)],
-    )

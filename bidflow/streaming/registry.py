@@ -62,6 +62,11 @@ def _with_end(df: DataFrame, end: DataFrame) -> DataFrame:
     return df.unionByName(_end_rows(end, df))
 
 
+def _marked_end(df: DataFrame, end: DataFrame) -> DataFrame:
+    """The same with a column that tells the marker from data."""
+    return df.withColumn("_end", F.lit(False)).unionByName(_end_rows(end, df).withColumn("_end", F.lit(True)))
+
+
 def _ntz(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -130,22 +135,14 @@ def _from_closed_log(spark, closed, plan, name):
     return run_to_table(spark, build, name)[0]
 
 
-def _closed_table(spark, d):
-    closed = q.closed_auctions(tables.auctions(spark, d), tables.bids(spark, d))
-    return closed.select(
-        "id", "seller", "category", "initial_bid", "reserve", scalars.micros_of("date_time").alias("opened_us"),
-        scalars.micros_of("expires").alias("expires_us"), "bidder", "price", scalars.micros_of("bid_time").alias("bid_us"),
-    )
-
-
 @stream
 def stream_q4_running(spark, d):
-    return _from_closed_log(spark, _closed_table(spark, d), sq.q4_running, "stream-q4")
+    return _from_closed_log(spark, _closed(spark, d)[0], sq.q4_running, "stream-q4")
 
 
 @stream
 def stream_q6(spark, d):
-    return _from_closed_log(spark, _closed_table(spark, d), sq.q6, "stream-q6")
+    return _from_closed_log(spark, _closed(spark, d)[0], sq.q6, "stream-q6")
 
 
 # -- stateful operators --------------------------------------------------------------------------
@@ -228,9 +225,9 @@ def stateful_binary(spark, d):
     """Latest-match join of clicks with sign-ups of the same user."""
 
     def build(end):
-        clicks = _with_end(_Streams(spark, d).clicks(), end).select("bidder", "event_id", "event_type", "date_time")
-        left = clicks.where("event_type = 'signup' OR event_type IS NULL").drop("event_type")
-        right = clicks.where("event_type = 'click'").drop("event_type")
+        clicks = _marked_end(_Streams(spark, d).clicks().select("bidder", "event_id", "event_type", "date_time"), end)
+        left = clicks.where("event_type = 'signup' OR _end").drop("event_type", "_end")
+        right = clicks.where("event_type = 'click'").drop("event_type", "_end")
         return sq.latest_match_join(left, right, "bidder", "date_time", "event_id")
 
     rows = run_to_table(spark, build, "stateful-binary")[0]
@@ -257,9 +254,9 @@ def stateful_binary_input(spark, d):
             yield (user, row["event_id"], n)
 
     def build(end):
-        clicks = _with_end(_Streams(spark, d).clicks(), end).select("bidder", "event_id", "event_type", "date_time")
-        left = clicks.where("event_type = 'purchase' OR event_type IS NULL").drop("event_type")
-        right = clicks.where("event_type = 'view'").drop("event_type")
+        clicks = _marked_end(_Streams(spark, d).clicks().select("bidder", "event_id", "event_type", "date_time"), end)
+        left = clicks.where("event_type = 'purchase' OR _end").drop("event_type", "_end")
+        right = clicks.where("event_type = 'view'").drop("event_type", "_end")
         return folds.stateful_binary(
             left, right, ("bidder", "bidder"), ("date_time", "date_time"), ("event_id", "event_id"),
             (on_purchase, on_view), "user_id BIGINT, event_id BIGINT, fresh BIGINT",
@@ -267,22 +264,3 @@ def stateful_binary_input(spark, d):
         )
 
     return run_to_table(spark, build, "stateful-binary-input")[0]
-
-
-@stream
-def event_timers(spark, d):
-    """Every event delivered `price` seconds after its time, in due order per user."""
-
-    def build(end):
-        clicks = _with_end(_Streams(spark, d).clicks(), end).select("bidder", "event_id", "price", "date_time")
-        return folds.event_timers(
-            clicks, "bidder", "date_time", "event_id", lambda us, row: us + row["price"] * 1_000_000
-        )
-
-    rows = run_to_table(spark, build, "event-timers")[0]
-    return rows.select(
-        F.col("key").alias("user_id"),
-        F.get_json_object("payload", "$.event_id").cast("bigint").alias("event_id"),
-        "due_us",
-        "position",
-    )

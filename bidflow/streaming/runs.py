@@ -10,7 +10,9 @@ from bidflow.operators.sizing import scratch_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
-END_OF_TIME = "2200-01-01 00:00:00"
+#: The time of the row that ends a stream, in microseconds: about the year 287000. It leaves room below the
+#: largest timestamp for windows that are computed from it.
+END_OF_TIME_US = 9_000_000_000_000_000_000
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -37,7 +39,7 @@ def run_to_table(
     """
     folder = scratch_folder(spark, name)
     end_path, out_path, checkpoint = f"{folder}/end", f"{folder}/out", f"{folder}/checkpoint"
-    marker = spark.sql(f"SELECT TIMESTAMP '{END_OF_TIME}' AS time")
+    marker = spark.sql(f"SELECT timestamp_micros({END_OF_TIME_US}) AS time")
     marker.limit(0).write.parquet(end_path)
     end = spark.readStream.schema(marker.schema).parquet(end_path)
 

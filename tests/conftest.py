@@ -32,11 +32,13 @@ def spark(tmp_path_factory):
 @pytest.fixture(params=["small", "large"])
 def form(request, spark):
     """Runs a test with the plain plans and again with the skew-proof ones."""
-    from bidflow.operators.sizing import SMALL_INPUT_CONF
+    from bidflow.operators.sizing import SLICE_CONF, SMALL_INPUT_CONF
 
     spark.conf.set(SMALL_INPUT_CONF, str(10**30) if request.param == "small" else "0")
+    spark.conf.set(SLICE_CONF, str(10**15) if request.param == "small" else "4000")
     yield request.param
     spark.conf.unset(SMALL_INPUT_CONF)
+    spark.conf.unset(SLICE_CONF)
 
 
 @pytest.fixture
