@@ -283,3 +283,26 @@ def test_result_logs(spark, small, tmp_path):
         ("rate", "100", "BIGINT", 2, False), ("rate", "200", "BIGINT", 2, False),
     ]
     assert rows(latency.experiment_filter(names, {"native": "True"})) == [("rate=100+native=True",)]
+
+
+def test_control_lines_without_moves_and_with_half_a_move(spark):
+    lines = spark.createDataFrame([("D 100",), ("D 200 1 0",), ("M 300 2 3",)], "value string")
+    parsed = logs.parse_control_lines(lines)
+    assert sorted((r.ts, r.bin, r.worker) for r in parsed.collect()) == [(200, 1, 0), (300, 0, 2), (300, 1, 3)]
+    with pytest.raises(Exception, match="a move without its worker"):
+        logs.parse_control_lines(spark.createDataFrame([("D 100 1 0 3",)], "value string")).collect()
+
+
+def test_messages_that_disagree_on_their_count(spark):
+    control = spark.createDataFrame([(1, 5, 0, 2), (1, 5, 1, 1), (2, 6, 0, 1)], "ts long, sequence long, msg long, count long")
+    assert [r.ts for r in routing.control_violations(control).collect()] == [1]
+
+
+@pytest.mark.parametrize("intervals", [10**6, 0])
+def test_records_that_no_map_routes(spark, monkeypatch, intervals):
+    """An unknown bin, no bin and no time: dropped by both ways of routing."""
+    monkeypatch.setattr(routing, "BROADCAST_INTERVALS", intervals)
+    history = spark.createDataFrame([(0, 7, None, 10), (0, 8, 10, None)], "bin long, worker long, valid_from long, valid_to long")
+    records = spark.createDataFrame([(1, 0, 5), (2, 0, 10), (3, 9, 5), (4, None, 5), (5, 0, None)], "id long, b long, at long")
+    found = routing.distribute(records, F.col("b"), "at", history)
+    assert sorted((r.id, r.worker) for r in found.collect()) == [(1, 7), (2, 8)]

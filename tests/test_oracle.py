@@ -3,7 +3,7 @@
 import pytest
 from oracle_check import compare
 
-from bidflow.operators.sizing import SMALL_INPUT_CONF
+from bidflow.operators.sizing import SLICE_CONF, SMALL_INPUT_CONF
 from bidflow.plans.oracle import ORACLE
 from bidflow.plans.registry import QUERIES
 from bidflow.streaming.registry import STREAMS
@@ -28,10 +28,12 @@ def test_query(name, spark, sf_dir, duck):
 @pytest.mark.parametrize("name", TWO_FORMS)
 def test_large_form(name, spark, sf_dir, duck):
     spark.conf.set(SMALL_INPUT_CONF, "0")
+    spark.conf.set(SLICE_CONF, "20000")
     try:
         assert compare(QUERIES[name](spark, sf_dir), duck, ORACLE[name]) is None
     finally:
         spark.conf.unset(SMALL_INPUT_CONF)
+        spark.conf.unset(SLICE_CONF)
 
 
 # Expected sizes on the two smaller scale factors, to notice a query and its SQL failing together.

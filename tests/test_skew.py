@@ -47,11 +47,25 @@ def test_running(skewed, slices, small):
     assert same(direct, sliced.select(*direct.columns))
 
 
+@pytest.mark.parametrize("slices", [2, 13])
+def test_running_with_null_keys_and_times(skewed, slices):
+    """Half of the rows have no key, some no time; both are ordinary values of their columns."""
+    rows = skewed.withColumns({"key": F.when(F.col("id") % 2 == 0, F.col("key")), "ts": F.when(F.col("id") % 11 > 0, F.col("ts"))})
+    values = dict(rank="n", sums={"total": F.col("v")}, latest={"seen": F.col("opt")}, following={"next": F.col("opt")})
+    assert same(running(rows, ["key"], ["ts", "id"], **values, slices=1), running(rows, ["key"], ["ts", "id"], **values, slices=slices))
+
+
+def test_running_shuffles_its_input_once(spark, skewed):
+    executed = running(skewed, ["key"], ["ts", "id"], sums={"total": F.col("v")}, slices=7)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning(key") - executed.count("partial_sum") <= 2 and "rangepartitioning" not in executed
+
+
+@pytest.mark.parametrize("n", [10, 300])
 @pytest.mark.parametrize("block", [10, 64, 100_000])
-def test_last_n_sums(skewed, block, small):
+def test_last_n_sums(skewed, n, block, small):
     sums = {"s": F.col("v"), "c": F.lit(1).cast("bigint")}
-    plain = last_n_sums(skewed, ["key"], ["ts", "id"], 10, sums)
-    sliced = last_n_sums(skewed, ["key"], ["ts", "id"], 10, sums, block=block, slices=7)
+    plain = last_n_sums(skewed, ["key"], ["ts", "id"], n, sums, slices=1)
+    sliced = last_n_sums(skewed, ["key"], ["ts", "id"], n, sums, block=block, slices=7)
     assert same(plain, sliced)
 
 

@@ -189,3 +189,37 @@ def test_streamed_event_log(spark, sf_dir, tmp_path):
     for i, (expected, branch) in enumerate(zip(views, branches)):
         found, _ = run_to_table(spark, lambda end: branch, f"branch{i}", flush=False)
         assert changelog.verify_equal(expected, found.select(*expected.columns)).count() == 0
+
+
+def test_records_due_after_2200_are_folded(spark, tmp_path):
+    """Due times in 2270, and one beyond what Python's datetime holds."""
+    path = str(tmp_path / "in")
+    spark.sql("SELECT id AS d, timestamp_seconds(1000 + id) AS at FROM range(4)").write.parquet(path)
+    far = {0: 1_000_000, 1: 9_500_000_000_000_000, 2: 9_500_000_000_000_001, 3: 300_000_000_000_000_000}
+
+    def fold(key, due, state, later):
+        yield from ((row["d"], us) for us, row in due)
+
+    def build(end):
+        stream = read_stream(spark, path).select(F.lit(1).cast("bigint").alias("k"), "d", "at")
+        marker = end.select(F.lit(-1).cast("bigint").alias("k"), F.lit(-1).cast("bigint").alias("d"), F.col("time").alias("at"))
+        return folds.stateful_unary(
+            stream.unionByName(marker), "k", "at", "d", fold, "d BIGINT, us BIGINT", consume=lambda us, row: [(far.get(row["d"], us), row)]
+        )
+
+    found, _ = run_to_table(spark, build, "far")
+    assert sorted((r.d, r.us) for r in found.collect() if r.d > 0) == [(d, far[d]) for d in (1, 2, 3)]
+
+
+def test_events_without_a_type_are_not_the_end(spark, sf_dir, tmp_path):
+    """The two-input streams over events some of which have no type, against the batch join."""
+    from bidflow.plans.registry import QUERIES
+
+    folder = tmp_path / "some"
+    folder.mkdir()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.withColumn("event_type", F.when(F.col("event_id") % 7 > 0, F.col("event_type"))).write.parquet(str(folder / "events.parquet"))
+    for name in ("stateful_binary",):
+        found = STREAMS[name](spark, str(folder))
+        expected = QUERIES["latest_match_join"](spark, str(folder)).select("user_id", "left_event_id", "right_event_id")
+        assert changelog.verify_equal(expected, found.select(*expected.columns)).count() == 0
