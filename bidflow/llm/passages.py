@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from bidflow.llm.shared import mixed, prefix_sums, span_hash, text_of, total_bytes
 
 GROUP_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Groups that may have a key before its windows are dealt by their content.
 HOT_GROUPS = 256
 BLOCK = 1 << 17
@@ -136,7 +136,8 @@ def runs(units: Units, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if not first:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
-    start, key = np.concatenate(first), np.concatenate(keys)
+    # The smallest of many hashes is a small number; mixed again, keys spread over all buckets.
+    start, key = np.concatenate(first), mixed(np.concatenate(keys) + np.uint64(1))
     ends = units.bounds[np.searchsorted(units.bounds, start, side="right")] - window + 1
     size = np.minimum(np.concatenate([start[1:], [n]]), ends) - start
     return start, size, key
@@ -146,7 +147,7 @@ def self_repeating(units: Units, method: Method, start: np.ndarray, size: np.nda
     """Runs in which the phrase of the key stands twice, without which no two of their windows are equal."""
     if not len(start):
         return np.zeros(0, bool)
-    phrases = method.phrases(units.codes)
+    phrases = mixed(method.phrases(units.codes) + np.uint64(1))
     reach = size + method.window - method.phrase
     equal = phrases[np.repeat(start, reach) + expand(reach)] == np.repeat(key, reach)
     return np.add.reduceat(equal.astype(np.int32), np.cumsum(reach) - reach) > 1
@@ -295,13 +296,19 @@ def without_repeats(docs: DataFrame, method: Method, finish: Callable[[Units, np
             return np.concatenate([unpack(raw, k, kind) for raw, k in zip(table.column(name).to_pylist(), n.tolist())])
 
         length = column("bytes", np.int32).astype(np.int64)
-        data = np.frombuffer(b"".join(pa.decompress(raw, k, "zstd", asbytes=True) for raw, k in zip(table.column("text").to_pylist(), table.column("length").to_pylist())), np.uint8)
+        texts, same = [], []
+        for raw, size, many, lengths in zip(*(table.column(c).to_pylist() for c in ("text", "length", "n", "bytes"))):
+            text = np.frombuffer(pa.decompress(raw, size, "zstd"), np.uint8)
+            lengths = unpack(lengths, many, np.int32).astype(np.int64)
+            ends = np.cumsum(lengths)
+            # The hash of each segment, from the bytes of one group at a time.
+            same.append(mixed(span_hash(prefix_sums(text), ends - lengths, ends) + lengths.astype(np.uint64) * np.uint64(0x9E3779B1)))
+            texts.append(text)
+        data, same = np.concatenate(texts), np.concatenate(same)
+        del texts
         key, doc, offset = column("key", np.uint64), column("doc", np.int64), column("offset", np.int32).astype(np.int64)
         many = column("many", bool)
         bounds = np.concatenate([[0], np.cumsum(length)])
-        sums = prefix_sums(data)
-        same = mixed(span_hash(sums, bounds[:-1], bounds[1:]) + length.astype(np.uint64) * np.uint64(0x9E3779B1))
-        del sums
         # By key, so that a shard can be worked on in parts; the first place of equal segments first.
         order = np.lexsort((offset, doc, same, key))
         new = np.concatenate([[True], (same[order][1:] != same[order][:-1]) | (key[order][1:] != key[order][:-1])])
@@ -321,10 +328,11 @@ def without_repeats(docs: DataFrame, method: Method, finish: Callable[[Units, np
                 stop += 1
             stop = min(stop, len(head))
             part = head[at:stop]
-            inner = expand(length[part]) + np.repeat(bounds[part], length[part])
+            view = memoryview(data)
+            text = b"".join([view[a:z] for a, z in zip(bounds[part].tolist(), bounds[part + 1].tolist())])
             made = method.repeats(
                 Segments(
-                    data[inner], np.concatenate([[0], np.cumsum(length[part])]), key[part], doc[part], offset[part],
+                    np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(length[part])]), key[part], doc[part], offset[part],
                     (count > 1)[at:stop] | seen[at:stop],
                 )
             )
