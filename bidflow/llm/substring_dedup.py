@@ -43,8 +43,8 @@ def repeated_bytes(segments: Segments) -> Repeats:
     place = np.arange(len(segments.data)) + np.repeat(np.arange(count), length)
     text[:-1] = 1
     text[place] = segments.data.astype(np.uint16) + 2
-    order = suffix_array(text, 258)
-    shared = permuted_common_prefixes(text, order) >= LENGTH
+    order = suffix_array(text, 258, ends=2)
+    shared = permuted_common_prefixes(text, order, ends=2) >= LENGTH
     begin = segments.bounds[:-1] + np.arange(count)
     # Windows in the order of the array: only they can share the length, so classes are runs of it.
     windows = length - LENGTH + 1

@@ -28,28 +28,24 @@ def ranked(names: np.ndarray) -> np.ndarray:
     order = np.argsort(names, kind="stable")
     rank = np.empty(n, np.int64)
 
-    def deeper(order: np.ndarray, rank: np.ndarray, span: int) -> np.ndarray:
-        edge = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-        size = np.diff(np.append(np.flatnonzero(edge), n))
-        open_ = np.repeat(size > 1, size)
-        if not open_.any():
-            return order
-        # Only suffixes whose rank is shared are sorted again, by the rank of what follows.
-        some = order[open_]
-        follow = rank[np.minimum(some + span, n - 1)]
-        place = np.flatnonzero(open_)
-        again = np.lexsort((follow, rank[some]))
-        some, follow = some[again], follow[again]
-        order = order.copy()
-        order[place] = some
-        new = np.concatenate([[True], (rank[some][1:] != rank[some][:-1]) | (follow[1:] != follow[:-1])])
-        rank = rank.copy()
-        rank[some] = np.maximum.accumulate(np.where(new, place, 0))
-        return deeper(order, rank, 2 * span)
-
-    edge = np.concatenate([[True], names[order][1:] != names[order][:-1]])
-    rank[order] = np.maximum.accumulate(np.where(edge, np.arange(n), 0))
-    return deeper(order, rank, 1)
+    def settle(places: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Ranks the suffixes at these places, sorted by keys; returns the places whose keys are shared."""
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        rank[order[places]] = places[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))]
+        alone = new & np.append(new[1:], True)
+        return places[~alone]
+
+    def deeper(places: np.ndarray, span: int) -> None:
+        if not len(places):
+            return
+        some = order[places]
+        keys = rank[some] * (n + 1) + rank[np.minimum(some + span, n - 1)]
+        again = np.argsort(keys)
+        order[places] = some[again]
+        deeper(settle(places, keys[again]), 2 * span)
+
+    deeper(settle(np.arange(n), names[order]), 1)
+    return order
 
 
 def by_symbol(positions: np.ndarray, text: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -104,8 +100,12 @@ def induce(text: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
     return np.concatenate(out)[::-1]
 
 
-def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Starts of all suffixes in order. Symbols are below `symbols`; the last is 0 and occurs once."""
+def suffix_array(text: np.ndarray, symbols: int, ends: int = 1) -> np.ndarray:
+    """Starts of all suffixes in order. Symbols are below `symbols`; the last is 0 and occurs once.
+
+    Symbols below `ends` mark ends of parts: no two of them count as equal, so nothing is compared beyond
+    them. They must not stand at the start nor next to each other.
+    """
     n = len(text)
     small = classes(text)
     edge = np.zeros(n, bool)
@@ -120,7 +120,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     where[marks] = np.arange(len(marks))
     length = np.append(np.diff(marks), 1)[where[order]]
     differs = np.ones(len(order), bool)
-    open_ = np.flatnonzero(length[1:] == length[:-1]) + 1
+    open_ = np.flatnonzero((length[1:] == length[:-1]) & (text[order[1:]] >= ends)) + 1
     differs[open_] = False
     step = 0
     while len(open_):
@@ -136,17 +136,18 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     return induce(text, order, symbols)
 
 
-def permuted_common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, ends: int = 1) -> np.ndarray:
     """For each suffix, in the order of the text, the length it shares with the one before it in `order`.
 
     Only suffixes whose left neighbours differ are compared; for the others the length is one less than
-    that of the suffix to the left.
+    that of the suffix to the left. Marks of ends (see `suffix_array`) differ from each other, but lengths may
+    reach beyond them.
     """
     n = len(text)
     before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     own = np.ones(n, bool)
-    own[1:] = (before[1:] < 1) | (text[:-1] != text[before[1:] - 1])
+    own[1:] = (before[1:] < 1) | (text[:-1] < ends) | (text[:-1] != text[before[1:] - 1])
     at = np.flatnonzero(own & (before >= 0))
     length = np.zeros(n, np.int64)
     wide = np.zeros(n + 8, np.uint16)
