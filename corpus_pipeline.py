@@ -21,36 +21,41 @@ SIMILARITY = 80
 ORACLE_SQL = None
 
 
+def whole_rows(docs: DataFrame, *columns) -> DataFrame:
+    """The rows of docs in one column `doc`, out of the way of names that a stage joins, beside some of their columns."""
+    return docs.select(F.struct("*").alias("doc"), *columns)
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with one predominant language; learns from the labels of those not held out."""
     langs, model = language.train(docs.filter(~language.held_out()))
-    seen = language.identify(docs.select(F.struct("*").alias("doc"), "text"), langs, model)
+    seen = language.identify(whole_rows(docs, "text"), langs, model)
     return seen.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of equal texts; of rows that repeat it, one."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    digest = F.sha2(exact_dedup.normalised(), 256)
-    found = docs.join(
-        kept.agg(F.count("*").alias("_rows")), F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    kept = exact_dedup.exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    own = whole_rows(docs, "doc_id", F.sha2(exact_dedup.normalised(), 256).alias("digest"))
+    found = own.join(
+        kept.agg(F.count("*").alias("rows")), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
     )
-    once = found.filter("_rows = 1").unionByName(found.filter("_rows > 1").dropDuplicates(["_id", "_digest"]))
-    return once.select(docs.columns)
+    once = found.filter("rows > 1").dropDuplicates(["doc_id", "digest"])
+    return found.filter("rows = 1").select("doc.*").unionByName(once.select("doc.*"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component, and those without a doc_id."""
     gone = near_dedup.near_dedup(docs, SIMILARITY).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return whole_rows(docs, "doc_id").join(gone, "doc_id", "left_anti").select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it, to the nearest whole number; zero drops it."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = F.floor(F.col("_taken") / F.greatest("_size", F.lit(1)) + 0.5).cast("int")
-    found = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copies", copies).filter("_copies > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("mix_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    found = whole_rows(docs, "doc_id").join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("copies", copies)
+    return found.filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
