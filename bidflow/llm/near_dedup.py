@@ -1,22 +1,26 @@
 """Operator 8, MinHash near-dedup as a chosen-path set similarity join.
 
 Texts with equal shingle sets are one class. In each of several independent trees, classes branch by a few
-minwise tokens chosen by the node they are in; nodes with few members are compared exhaustively, larger
-ones branch again. Comparisons use short sketches; each link is confirmed on full shingle sets.
+minwise tokens chosen by the node they are in. Nodes with few members are compared exhaustively; larger
+ones branch again unless most members resemble the first one, since no token divides near copies.
+Comparisons use short sketches; each link is confirmed on full shingle sets.
 
 Only components are wanted, so pairs that are already connected need no comparison: the first round
-links each member of a node to one earlier member, and the second compares what is still apart.
+links each class to the most similar one before it, and the second compares what is still apart in a node.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidflow.llm.components import components
 from bidflow.llm.shared import bytes_of, join_groups, lower_ascii, mixed, pieces, shingle_hashes, table, text_of
@@ -60,31 +64,33 @@ def shingle_sets(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null when empty), tokens (array), sketch (low bytes of the tokens)."""
+    """doc_id, n_shingles, digest of the set (null when empty), tokens (the low half of each, in one binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             sets = shingle_sets(batch, 1)
-            tokens = np.array([minwise(s) if len(s) else np.zeros(TOKENS, np.uint64) for s in sets], np.uint64)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            flat = pa.array(tokens.reshape(-1).view(np.int64))
+            tokens = [minwise(s).astype("<u4").tobytes() if len(s) else None for s in sets]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TOKENS), pa.int32()), flat),
-                    pa.array([t.tobytes() for t in tokens.astype(np.uint8)], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "digest", "tokens", "sketch"],
-            )
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "tokens"],
+            )
 
-    schema = "doc_id long, n_shingles long, digest string, tokens array<long>, sketch binary"
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, tokens binary")
 
 
 def child(path, branch):
     """The node below a node for one branch: its token is chosen by the node, its value by the class."""
     token = F.pmod(F.xxhash64(path, branch), F.lit(TOKENS)).cast("int")
-    return F.xxhash64(path, branch, F.element_at("tokens", token + 1))
+    return F.xxhash64(path, branch, F.substring("tokens", 4 * token + 1, F.lit(4)))
+
+
+@F.pandas_udf(T.BooleanType())
+def resembles(tokens: pd.Series, other: pd.Series) -> pd.Series:
+    """Whether at least half of the tokens are equal."""
+    a = np.frombuffer(b"".join(tokens), "<u4").reshape(-1, TOKENS)
+    b = np.frombuffer(b"".join(other), "<u4").reshape(-1, TOKENS)
+    return pd.Series(2 * (a == b).sum(axis=1) >= TOKENS)
 
 
 def nodes(classes: DataFrame, kept) -> DataFrame:
@@ -105,7 +111,17 @@ def nodes(classes: DataFrame, kept) -> DataFrame:
         large = level.filter(F.col("members") > SMALL)
         if large.isEmpty():
             break
-        level = branched(large.select("path", "rep").join(classes.select("rep", "tokens"), "rep"))
+        # Near copies stay together whatever the token: such a node ends here.
+        tokens = classes.select("rep", "tokens")
+        large = kept(large.join(tokens, "rep"))
+        heads = large.groupBy("path").agg(F.min("rep").alias("rep")).join(tokens, "rep").select("path", F.col("tokens").alias("head"))
+        alike = large.join(heads, "path").groupBy("path").agg(F.avg(resembles("tokens", "head").cast("int")).alias("share"))
+        alike = kept(alike.withColumn("dense", F.col("share") >= 0.5).drop("share"))
+        ended.append(large.join(alike.filter("dense"), "path", "left_semi").select(level.columns))
+        mixed_nodes = large.join(alike.filter("NOT dense"), "path", "left_semi")
+        if mixed_nodes.isEmpty():
+            break
+        level = branched(mixed_nodes)
     else:
         ended.append(level)
     out = ended[0]
@@ -146,59 +162,136 @@ def passes(sketches: np.ndarray, one: np.ndarray, sizes: np.ndarray, size: int,
     return np.where(fits, equal, -1)
 
 
-def members_of(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """rep, label, whether the row is a visitor, size and sketch of a block's rows."""
-    rows = pa.Table.from_batches(group)
-    raw = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
-    return (*(rows.column(c).to_numpy() for c in ("rep", "label", "visitor", "n_shingles")), raw)
+@dataclass
+class Block:
+    """Rows of one block of a node: class, component so far, whether it visits, set size and sketch."""
+
+    rows: pa.Table
+    rep: np.ndarray
+    label: np.ndarray
+    visitor: np.ndarray
+    size: np.ndarray
+    sketch: np.ndarray
 
 
-PAIR = "a long, b long"
+def block_of(group: list[pa.RecordBatch]) -> Block:
+    rows = pa.Table.from_batches(group).combine_chunks()
+    raw = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), "<u4").reshape(-1, TOKENS)
+    return Block(rows, *(rows.column(c).to_numpy() for c in ("rep", "label", "visitor", "n_shingles")), raw)
 
 
-def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    ends = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+def passes(block: Block, others, one: int, percent: int) -> np.ndarray:
+    """Numbers of tokens that rows share with one row, and -1 where the pair cannot reach the similarity."""
+    share = percent / 100
+    least = TOKENS * share - SLACK * (TOKENS * share * (1 - share)) ** 0.5
+    equal = (block.sketch[others] == block.sketch[one]).sum(axis=1)
+    sizes, size = block.size[others], block.size[one]
+    fits = (equal >= least) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
+    return np.where(fits, equal, -1)
 
 
 def first_links(percent: int):
     """Each member with the most similar of the members before it in its block, if any is similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for group in by_group(batches, 2):
-            rep, _, _, size, sketch = members_of(group)
-            for i in range(1, len(rep)):
-                equal = passes(sketch[:i], sketch[i], size[:i], size[i], percent)
+            block = block_of(group)
+            for i in range(1, len(block.rep)):
+                equal = passes(block, slice(0, i), i, percent)
                 best = int(equal.argmax())
-                if equal[best] >= 0 and rep[best] != rep[i]:
-                    out.append((rep[best], rep[i]))
-            if len(out) > 10_000:
-                yield pair_batch(out)
-                out = []
-        yield pair_batch(out)
+                if equal[best] >= 0 and block.rep[best] != block.rep[i]:
+                    out.append((block.rep[best], block.rep[i], equal[best]))
+        columns = np.array(out, np.int64).reshape(-1, 3).T
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "equal"])
 
     return run
 
 
-def other_links(percent: int):
-    """Every pair of a block that is similar by sketch and not yet connected, one of them a visitor."""
+def apart(block: Block, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each visitor of a block with the rows that are similar by sketch and in another component."""
+    for i in np.flatnonzero(block.visitor):
+        found = np.flatnonzero((passes(block, slice(None), i, percent) >= 0) & (block.label != block.label[i]))
+        if len(found):
+            yield i, found
+
+
+def still_apart(percent: int):
+    """The rows of a block that `apart` pairs with another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches, 2):
+            block = block_of(group)
+            marked = np.zeros(len(block.rep), bool)
+            for i, found in apart(block, percent):
+                marked[i] = True
+                marked[found] = True
+            if marked.any():
+                yield from block.rows.filter(pa.array(marked)).to_batches()
+
+    return run
+
+
+def confirmed_links(percent: int):
+    """Links between rows of a block by their full sets. A pair that meets in several nodes is left to the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in by_group(batches, 2):
-            rep, label, visitor, size, sketch = members_of(group)
-            for i in np.flatnonzero(visitor):
-                equal = passes(sketch, sketch[i], size, size[i], percent)
-                out.extend((rep[i], rep[j]) for j in np.flatnonzero((equal >= 0) & (label != label[i])))
-                if len(out) > 10_000:
-                    yield pair_batch(out)
-                    out = []
-        yield pair_batch(out)
+            block = block_of(group)
+            path = block.rows.column("path")[0].as_py()
+            sets = block.rows.column("shingles").combine_chunks()
+            bounds = np.array(sets.offsets)
+            values = np.array(sets.values)
+            earlier = [{p for p in paths if p < path} for paths in block.rows.column("paths").to_pylist()]
+            up = {label: label for label in block.label.tolist()}
+
+            def top(label: int) -> int:
+                while up[label] != label:
+                    up[label] = up[up[label]]
+                    label = up[label]
+                return label
+
+            for i, found in apart(block, percent):
+                own = values[bounds[i] : bounds[i + 1]]
+                for j in found.tolist():
+                    a, b = top(block.label[i].item()), top(block.label[j].item())
+                    if a == b or not earlier[i].isdisjoint(earlier[j]):
+                        continue
+                    other = values[bounds[j] : bounds[j + 1]]
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        up[max(a, b)] = min(a, b)
+                        out.append((min(block.rep[i], block.rep[j]), max(block.rep[i], block.rep[j])))
+        columns = np.array(out, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
 
     return run
 
 
+#: Bits of the filter in `prefiltered`.
+FILTER_BITS = 26
+
+
+def prefiltered(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be among ids: spares most of the others a shuffle, and needs a join after it.
+
+    The filter has a fixed size of 8 MB; with more ids than it can tell apart it lets more rows through.
+    """
+    place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << FILTER_BITS))
+    words = ids.select(place.alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    filled[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+
+    @F.pandas_udf(T.BooleanType())
+    def possible(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((filled[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return docs.filter(possible(place))
+
+
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -220,26 +313,29 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows = kept(described(docs))
     groups = kept(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     classes = kept(
-        rows.select(F.col("doc_id").alias("rep"), "digest", "n_shingles", "tokens", "sketch")
-        .join(groups.select("rep", "digest"), ["rep", "digest"]).dropDuplicates(["digest"])
+        rows.select(F.col("doc_id").alias("rep"), "digest", "n_shingles", "tokens")
+        .join(groups.select("rep", "digest"), ["rep", "digest"]).dropDuplicates(["digest"]).drop("digest")
     )
 
-    tree = kept(nodes(classes, kept).join(classes.select("rep", "n_shingles", "sketch"), "rep"))
+    tree = kept(nodes(classes, kept))
+    members = tree.join(classes, "rep")
     # Blocks of a node that stayed large: each also gets the node's first member, which ties them together.
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks)
-    heads = tree.filter(F.col("members") > BLOCK).groupBy("path").agg(F.min("rep").alias("rep"))
-    heads = heads.join(tree, ["path", "rep"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    columns = ["path", "block", "rep", "label", "visitor", "n_shingles", "sketch"]
-    bare = tree.withColumn("block", block.cast("int")).unionByName(heads).distinct()
+    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    large = tree.filter(F.col("members") > BLOCK)
+    heads = large.groupBy("path", "members").agg(F.min("rep").alias("rep")).join(classes, "rep")
+    heads = heads.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    columns = ["path", "block", "rep", "label", "visitor", "n_shingles", "tokens"]
+    bare = members.withColumn("block", block).unionByName(heads)
     bare = bare.withColumn("label", F.lit(0).cast("long")).withColumn("visitor", F.lit(False))
 
-    def compared(members: DataFrame, links) -> DataFrame:
-        dealt = members.select(columns).repartition("path", "block").sortWithinPartitions("path", "block", "rep")
-        return dealt.mapInArrow(links, PAIR).distinct()
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("path", "block").sortWithinPartitions("path", "block", "rep")
 
-    # Full sets of all classes that share a node with another.
-    wanted = tree.select(F.col("rep").alias("doc_id")).distinct()
+    # Round one: a class goes with the most similar of those before it, over all its nodes.
+    found = dealt(bare.select(columns)).mapInArrow(first_links(percent), "a long, b long, equal long")
+    best = F.max(F.struct("equal", (-F.col("a")).alias("a")))
+    pairs = kept(found.groupBy("b").agg(best.alias("best")).select((-F.col("best.a")).alias("a"), "b"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
@@ -250,34 +346,37 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "shingles"]
             )
 
-    sets = kept(
-        docs.select("doc_id", text_of().alias("text")).join(wanted, "doc_id").mapInArrow(sets_of, "id long, shingles array<long>").distinct()
-    )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return (
-            pairs.join(left, "a").join(right, "b").withColumn("both", both)
-            .filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
-        )
-
-    links = kept(confirmed(compared(bare, first_links(percent))))
+    def sets(ids: DataFrame) -> DataFrame:
+        """Full shingle sets of some classes. Rows that share a doc_id count as one document."""
+        texts = prefiltered(docs.select("doc_id", text_of().alias("text")), ids).join(ids, "doc_id")
+        return kept(texts.mapInArrow(sets_of, "id long, shingles array<long>"))
+
+    whole = sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    both = F.size(F.array_intersect("sa", "sb"))
+    links = kept(
+        pairs.join(whole.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        .join(whole.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").withColumn("both", both)
+        .filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    )
     first = components(links)
-    labelled = kept(
-        tree.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    )
-    # What is not in the component of a node's first member visits all blocks of the node.
+
+    # Round two: what is not in the component of a node's first member visits all blocks of the node.
+    labelled = kept(tree.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     main = labelled.groupBy("path").agg(F.min("rep").alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
     main = main.filter("low <> high").select("path", "head").join(
         labelled.select("path", F.col("rep").alias("head"), F.col("label").alias("main")), ["path", "head"]
     )
-    split = labelled.join(main.select("path", "main"), "path")
+    split = labelled.join(main.select("path", "main"), "path").join(classes, "rep")
     visitors = split.filter("label <> main").withColumn("visitor", F.lit(True))
     visitors = visitors.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    hosts = split.withColumn("visitor", F.lit(False)).withColumn("block", block.cast("int"))
-    more = kept(confirmed(compared(hosts.unionByName(visitors), other_links(percent))))
+    hosts = split.withColumn("visitor", F.lit(False)).withColumn("block", block)
+    schema = "path long, block int, rep long, label long, visitor boolean, n_shingles long, tokens binary"
+    open_ = kept(dealt(hosts.unionByName(visitors).select(columns)).mapInArrow(still_apart(percent), schema))
+    reps = open_.select("rep").distinct()
+    # A class is in at most TREES * BRANCHES ** LEVELS nodes.
+    paths = tree.join(reps, "rep", "left_semi").groupBy("rep").agg(F.collect_set("path").alias("paths"))
+    own = paths.join(sets(reps.withColumnRenamed("rep", "doc_id")).withColumnRenamed("id", "rep"), "rep")
+    more = kept(dealt(open_.join(own, "rep").select(*columns, "paths", "shingles")).mapInArrow(confirmed_links(percent), "a long, b long").distinct())
     labels = components(links.union(more))
 
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("component_id"))
