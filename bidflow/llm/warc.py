@@ -100,16 +100,19 @@ def write(pages: DataFrame, folder: str, archives: int | None = None) -> DataFra
     key, offset, length). A task that is repeated writes a new archive; only those in the index count.
     """
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", text_of("html").alias("html")).withColumn("digest", F.sha2("html", 256))
+    rows = pages.select(url_key(F.col("url")).alias("key"), "page_id", "url", text_of("html").alias("html"))
+    rows = rows.withColumn("digest", F.sha2("html", 256))
     path = scratch_folder(spark, "captures")
-    rows.select("page_id", "digest", F.octet_length("html").cast("long").alias("size")).write.parquet(path)
-    narrow = spark.read.schema("page_id long, digest string, size long").parquet(path)
+    rows.select("key", "page_id", "digest", F.octet_length("html").cast("long").alias("size")).write.parquet(path)
+    narrow = spark.read.schema("key string, page_id long, digest string, size long").parquet(path)
     groups = narrow.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     groups = groups.filter("n > 1 AND first_id IS NOT NULL")
     total = narrow.agg(F.count("*"), F.sum("size")).first()
-    repeats = join_groups(narrow.select("page_id", "digest"), groups, "digest", "n", total[0])
-    repeats = repeats.filter("NOT page_id <=> first_id").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first_id").distinct()
-    marked = rows.join(repeats, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    repeats = join_groups(narrow.select("key", "page_id", "digest"), groups, "digest", "n", total[0])
+    # What a page repeats travels as a row of its own that sorts before the page, so payloads are shuffled once.
+    notes = repeats.filter("NOT page_id <=> first_id").select("key", "page_id", "digest", "first_id").distinct()
+    notes = notes.withColumns({"url": F.lit(None).cast("string"), "html": F.lit(""), "note": F.lit(True)})
+    marked = rows.withColumns({"first_id": F.lit(None).cast("long"), "note": F.lit(False)}).unionByName(notes)
     count = archives or max(1, -(-(total[1] or 0) // ARCHIVE_BYTES), min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     root = f"{folder.rstrip('/')}/archives"
 
@@ -117,6 +120,8 @@ def write(pages: DataFrame, folder: str, archives: int | None = None) -> DataFra
         store, base = fs.FileSystem.from_uri(root)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         lines: list[tuple[str, int, int]] = []
+        noted: dict[str, int] = {}
+        place = None
 
         def block() -> pa.RecordBatch:
             text = "\n".join(f"{offset} {length} {key}" for key, offset, length in lines)
@@ -127,15 +132,21 @@ def write(pages: DataFrame, folder: str, archives: int | None = None) -> DataFra
         try:
             for batch in pieces(batches, "html"):
                 for row in batch.to_pylist():
+                    if place != (row["key"], row["page_id"]):
+                        place = (row["key"], row["page_id"])
+                        noted.clear()
+                    if row["note"]:
+                        noted[row["digest"]] = row["first_id"]
+                        continue
                     if out is None:
                         store.create_dir(base, recursive=True)
                         out = store.open_output_stream(f"{base}/{name}", compression=None)
                         info = b"software: warc writer\r\n"
-                        first = packed(head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", len(info))]) + info + b"\r\n\r\n")
-                        out.write(first)
-                        at = len(first)
-                    revisit = row["first_id"] is not None
-                    data = packed(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["first_id"], revisit))
+                        opening = packed(head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", len(info))]) + info + b"\r\n\r\n")
+                        out.write(opening)
+                        at = len(opening)
+                    first = noted.get(row["digest"])
+                    data = packed(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], first, first is not None))
                     out.write(data)
                     lines.append((row["key"], at, len(data)))
                     at += len(data)
@@ -148,8 +159,8 @@ def write(pages: DataFrame, folder: str, archives: int | None = None) -> DataFra
                 out.close()
 
     index = (
-        marked.select(url_key(F.col("url")).alias("key"), "page_id", "url", "digest", "first_id", "html")
-        .repartitionByRange(count, "key", "page_id").sortWithinPartitions("key", "page_id")
+        marked.select("key", "page_id", "url", "digest", "first_id", "note", "html")
+        .repartitionByRange(count, "key", "page_id").sortWithinPartitions("key", "page_id", F.desc("note"))
         .mapInArrow(archive, "first_key string, last_key string, archive string, captures long, block binary")
     )
     index.write.parquet(f"{folder}/index")
