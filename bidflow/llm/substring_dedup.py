@@ -18,7 +18,8 @@ from bidflow.llm.shared import bytes_of, mixed, table
 from bidflow.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 50
-PHRASE = 16
+#: Long enough that a phrase hardly recurs by chance, whatever the size of the corpus.
+PHRASE = 24
 
 
 def byte_units(rows: pa.Table) -> Units:
@@ -29,9 +30,10 @@ def byte_units(rows: pa.Table) -> Units:
 
 
 def byte_phrases(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes from each place on."""
+    """Hash of the 24 bytes from each place on."""
     words = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data).tobytes(), strides=(1,))
-    return mixed(words[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (words[8:] + (words[8:] << np.uint64(17))))
+    first, second, third = words[:-16], words[8:-8], words[16:]
+    return mixed((first * np.uint64(0x9E3779B97F4A7C15) ^ second) * np.uint64(0xC2B2AE3D27D4EB4F) ^ third)
 
 
 def repeated_bytes(segments: Segments) -> Repeats:
