@@ -270,7 +270,8 @@ def without_repeats(docs: DataFrame, method: Method, finish: Callable[[Units, np
         start, size, key, marks = start[order], size[order], key[order], marks[order]
         _, first, count = np.unique(content(method, sums, start, size), return_index=True, return_counts=True)
         owner = bucket_of(key[first])
-        order = np.argsort(owner, kind="stable")
+        # In the order of the text, in which places compress well.
+        order = np.lexsort((first, owner))
         first, count, owner = first[order], count[order], owner[order]
         doc, offset = units.place(start[first])
         low, high = units.bytes_between(start[first], start[first] + size[first] + method.window - 1)
@@ -283,8 +284,8 @@ def without_repeats(docs: DataFrame, method: Method, finish: Callable[[Units, np
             rows.append(
                 (
                     int(b), left.column("group")[0].as_py(), int(y - x), pack(start[take].astype(np.int32)), pack(size[take].astype(np.int32)),
-                    pack(key[take]), pack(doc[x:y]), pack(offset[x:y].astype(np.int32)), pack(count[x:y] > 1), pack(marks[take]),
-                    pack((high - low)[x:y].astype(np.int32)), len(text), pa.compress(text, "zstd", asbytes=True),
+                    short(key[take]), pack(doc[x:y]), pack(offset[x:y].astype(np.int32)), pack(count[x:y] > 1), pack(marks[take]),
+                    pack((high - low)[x:y].astype(np.int32)), len(text), pa.Codec("zstd", compression_level=6).compress(text, asbytes=True),
                 )
             )
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow(SEGMENTS))], schema=arrow(SEGMENTS)) if rows else arrow(SEGMENTS).empty_table()
@@ -306,7 +307,8 @@ def without_repeats(docs: DataFrame, method: Method, finish: Callable[[Units, np
             texts.append(text)
         data, same = np.concatenate(texts), np.concatenate(same)
         del texts
-        key, doc, offset = column("key", np.uint64), column("doc", np.int64), column("offset", np.int32).astype(np.int64)
+        key = np.concatenate([long(raw) for raw in table.column("key").to_pylist()])
+        doc, offset = column("doc", np.int64), column("offset", np.int32).astype(np.int64)
         many = column("many", bool)
         bounds = np.concatenate([[0], np.cumsum(length)])
         # By key, so that a shard can be worked on in parts; the first place of equal segments first.
