@@ -11,15 +11,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from bidflow.llm.shared import pieces, table, text_of
 
 MARK = "▁"
-#: Chunks kept per task, and the longest one kept; both bound memory, others are segmented again.
-TABLE_CHUNKS = 200_000
+#: Chunks kept per task, and the longest one kept; both bound memory, others are segmented once per piece of a batch.
+TABLE_CHUNKS = 400_000
 LONGEST_KEPT = 64
+PIECE = 1 << 20
 END_ID = 2
 
 
@@ -40,48 +42,72 @@ def chunks_are_independent(model: bytes) -> bool:
 
 
 class ChunkTable:
-    """Ids (as text), their number and the decoded form of each distinct chunk."""
+    """Ids of each distinct chunk, as text."""
 
     def __init__(self, model: bytes, by_chunk: bool):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.by_chunk = by_chunk
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, str] = {}
+        #: Decoded forms of chunks that do not decode to themselves.
+        self.odd: dict[str, str] = {}
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        # What a piece decodes to; None for byte pieces, which decode together, and for control pieces.
+        special = [self.sp.is_byte(i) or self.sp.is_control(i) or self.sp.is_unknown(i) for i in range(self.sp.vocab_size())]
+        self.surface = [None if odd else self.sp.id_to_piece(i).replace(MARK, " ") for i, odd in enumerate(special)]
 
     def chunks(self, text: str) -> list[str]:
         """Chunks without their first marker."""
+        if not text:
+            return []
         if MARK not in text and "  " not in text and text[-1] != " " and text[0] != " ":
             return text.split(" ")
         return [c[1:] for c in self.split.findall(MARK + text.replace(" ", MARK))]
 
-    def look_up(self, chunks: list[str]) -> dict[str, tuple[str, int, str]]:
-        missing = list(set(chunks).difference(self.known))
-        if not missing:
-            return self.known
-        if len(self.known) + len(missing) > TABLE_CHUNKS:
-            self.known = {}
-            missing = list(set(chunks))
+    def decoded(self, ids: list[int]) -> str:
+        """The decoded form of a chunk, without the space of its first marker."""
+        parts = [self.surface[i] for i in ids]
+        return self.sp.decode(ids) if None in parts else "".join(parts)[1:]
+
+    def look_up(self, chunks: set[str]) -> dict[str, str]:
+        """Ids of chunks; those that are not known are segmented, each once."""
+        missing = list(chunks.difference(self.known))
+        plain = [c.replace(MARK, " ") for c in missing]
         found = {}
-        for chunk, ids in zip(missing, self.sp.encode([c.replace(MARK, " ") for c in missing], num_threads=1)):
+        for chunk, text, ids in zip(missing, plain, self.sp.encode(plain, num_threads=1)):
             if not chunk:
                 ids = [self.sp.piece_to_id(MARK)]
-            found[chunk] = (" ".join(map(str, ids)), len(ids), " " + self.sp.decode(ids))
-        self.known.update((c, v) for c, v in found.items() if len(c) <= LONGEST_KEPT)
-        return found | self.known if any(len(c) > LONGEST_KEPT for c in missing) else self.known
-
-    def encode(self, text: str) -> tuple[str, int, str]:
-        """Ids joined by spaces with the end id, their number, and the decoded text."""
-        if not text:
-            return str(END_ID), 1, ""
+            found[chunk] = " ".join(map(str, ids))
+            back = self.decoded(ids)
+            if back != text:
+                self.odd[chunk] = back
+        room = TABLE_CHUNKS - len(self.known)
+        self.known.update((c, found[c]) for c in missing[: max(0, room)] if len(c) <= LONGEST_KEPT)
+        return found
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
+        """For each text its ids joined by spaces with the end id, their number, and the decoded text."""
         if not self.by_chunk:
-            ids = self.sp.encode(text)
-            return " ".join(map(str, [*ids, END_ID])), len(ids) + 1, self.sp.decode(ids)
-        chunks = self.chunks(text)
-        known = self.look_up(chunks)
-        ids, counts, decoded = zip(*map(known.__getitem__, chunks))
-        return " ".join(ids) + f" {END_ID}", sum(counts) + 1, "".join(decoded)[1:]
+            for text in texts:
+                ids = self.sp.encode(text)
+                yield " ".join(map(str, [*ids, END_ID])), len(ids) + 1, self.sp.decode(ids)
+            return
+        split = [self.chunks(text) for text in texts]
+        found, known = self.look_up(set().union(*split)), self.known
+        for text, chunks in zip(texts, split):
+            joined = " ".join([known[c] if c in known else found[c] for c in chunks] + [str(END_ID)])
+            if self.odd and not self.odd.keys().isdisjoint(chunks):
+                back = " ".join([self.odd.get(c, c.replace(MARK, " ")) for c in chunks])
+            else:
+                back = text.replace(MARK, " ")
+            yield joined, joined.count(" ") + 1, back
+        self.odd = {c: v for c, v in self.odd.items() if c in known}
+
+
+def id_lists(joined: list[str], counts: list[int]) -> pa.Array:
+    flat = np.fromstring(" ".join(joined), np.int32, sep=" ")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
 
 
 def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
@@ -97,17 +123,16 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk_table = ChunkTable(model, by_chunk)
         sha = hashlib.sha256
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             ids, counts, digests, decoded = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                joined, n, back = chunk_table.encode(text)
+            for joined, n, back in chunk_table.encode(batch.column(1).to_pylist()):
                 counts.append(n)
                 digests.append(sha(joined.encode()).hexdigest())
                 decoded.append(sha(back.encode()).hexdigest())
-                ids.append([int(x) for x in joined.split()] if with_ids else None)
+                ids.append(joined)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                    batch.column(0), pa.array(counts, pa.int64()), id_lists(ids, counts) if with_ids else pa.nulls(len(ids), pa.list_(pa.int32())),
                     pa.array(digests, pa.string()), pa.array(decoded, pa.string()),
                 ],
                 ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
