@@ -14,7 +14,7 @@ from bidflow.llm import exact_dedup, language, mixing, near_dedup, pieces
 from bidflow.operators.sizing import scratch_folder
 
 #: Documents whose language has a smaller share of the text than this, or no language, go.
-LEAST_SCORE = 0.5
+LEAST_SHARE = 0.5
 #: Percent of shingles in common from which documents are near copies.
 SIMILARITY = 80
 #: SQL cannot express the language model nor the tokenizer; tests compare with brute force.
@@ -27,10 +27,15 @@ def whole_rows(docs: DataFrame, *columns) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with one predominant language; learns from the labels of those not held out."""
+    """Keeps documents whose language has at least `LEAST_SHARE` of the text; learns from the labels of those not held out.
+
+    How sure op2 is of the language plays no part: two languages in one text make it unsure of either. If no label can
+    be learned (all null or held out), no document has a language and none is kept.
+    """
     langs, model = language.train(docs.filter(~language.held_out()))
     seen = language.identify(whole_rows(docs, "text"), langs, model)
-    return seen.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
+    share = F.col("shares")[F.col("lang_pred")]
+    return seen.filter((F.col("lang_pred") != language.UNDETERMINED) & (share >= LEAST_SHARE)).select("doc.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,3 +88,36 @@ def test_awkward_rows(spark, sf_dir, number):
     if name == "exact dedup":
         assert made.filter("text = 'x y z'").count() == 1 and made.filter("text = 'x y'").count() == 1
     assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_bilingual_documents_stay(spark, sf_dir):
+    """A document whose language has half of the text or more stays, however unsure that language is."""
+    from pyspark.sql import functions as F
+
+    from bidflow.llm import language
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labelled = docs.filter(~language.held_out())
+    by = {}
+    for r in docs.filter("length(text) > 1200").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(r.text)
+    # Above all held-out ids and labelled null, so that the model is learned from the documents only.
+    pairs = [(a, b) for a in sorted(by) for b in sorted(by) if a != b]
+    made = [(10**9 + i, x[:660] + " " + y[:540], None, "s", 1200) for i, (x, y) in enumerate((x, y) for a, b in pairs for x, y in zip(by[a][:4], by[b][:4]))]
+    mixtures = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").select(docs.columns)
+    langs, model = language.train(labelled)
+    seen = language.identify(mixtures, langs, model).collect()
+    want = sorted(r.doc_id for r in seen if r.shares[r.lang_pred] >= 0.5)
+    assert any(r.shares[r.lang_pred] >= 0.5 and r.score < 0.1 for r in seen)
+    kept = corpus_pipeline.by_language(spark, docs.unionByName(mixtures), sf_dir).filter(F.col("doc_id") >= 10**9)
+    assert ids(kept.collect()) == want
+
+
+def test_no_document_has_a_language_without_labels(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from bidflow.llm import language
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for unlabelled in (docs.withColumn("lang", F.lit(None).cast("string")), docs.filter(language.held_out())):
+        assert unlabelled.count() and corpus_pipeline.by_language(spark, unlabelled, sf_dir).count() == 0
