@@ -268,6 +268,22 @@ def test_near_dedup(spark, docs, rows, odd, small, block, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_lose_hardly_any_link(percent):
+    """Of pairs exactly at the threshold, fewer than one in a million have too few equal tokens to be compared."""
+    import math
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    n = near_dedup.TOKENS
+    sketch = np.tril(np.ones((n + 1, n), np.uint32), -1)  # row k has k ones
+    block = SimpleNamespace(sketch=np.vstack([sketch, np.ones((1, n), np.uint32)]), size=np.full(n + 2, 100))
+    lost = near_dedup.passes(block, slice(0, n + 1), n + 1, percent) < 0
+    p = percent / 100
+    assert lost[0] and sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in np.flatnonzero(lost).tolist()) < 1e-6
+
+
 def test_near_dedup_of_rows_without_ids(repeated):
     got = found(near_dedup.near_dedup(repeated), "doc_id", "component_id", "kept")
     assert got == [(3, 3, True), (7, 7, True), (7, 7, True), (None, 7, False), (None, None, True), (None, None, True)]
