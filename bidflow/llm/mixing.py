@@ -1,7 +1,8 @@
 """Operator 9, mixing sources to target weights by Sainte-Laguë apportionment.
 
 The mix is made of blocks of equally many words. Blocks go to sources, and a source's blocks to its
-shards, by highest quotients, so quotas are integers and add up. A shard fills its quota by walking
+shards, by highest quotients, so quotas are integers and add up. Where a block is too coarse single words
+go the same way, so small sources take their targets too. A shard fills its quota by walking
 through its documents in a seeded order, again from the start when it reaches the end.
 """
 
@@ -70,6 +71,21 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return out
 
 
+def quotas(target: np.ndarray, words: int, most: np.ndarray, block: int) -> np.ndarray:
+    """Words of each party by its target, at most `most` each, and `words` in all if that allows it.
+
+    A party whose target is its most takes that. The others take whole blocks, the last one cut at their most;
+    parties with targets below a block, and then all for what blocks leave over, take single words.
+    """
+    target, most = np.asarray(target, float), np.asarray(most, np.int64)
+    out = np.where(target >= most, most, 0)
+    small, large = (target < most) & (target < block), (target < most) & (target >= block)
+    out += sainte_lague(np.where(small, target, 0), min(round(target[small].sum()), words - out.sum()), most)
+    blocks = sainte_lague(np.where(large, target, 0), (words - out.sum()) // block, -(-most // block))
+    out = np.minimum(out + blocks * block, most)
+    return out + sainte_lague(target, words - out.sum(), most - out)
+
+
 def mix(
     docs: DataFrame, weights: list[float] | None = None, block: int = BLOCK_WORDS, seed: int = 0, most: int = MOST_REPEATS
 ) -> DataFrame:
@@ -78,7 +94,7 @@ def mix(
     size is the number of words (null text: 0). `weights` go to the sources by code point, null last,
     and repeat; 1, 2, 3 if none are given. taken is the number of words the mix takes, whole passes
     counted as often as they occur; at most `most` times the size. Each source takes its target to
-    within a block and a block per shard that is exhausted. Empty documents take nothing. Rows that
+    within a block, or a word if the target is below a block; a target of `most` times the size is taken whole. Empty documents take nothing. Rows that
     share doc_id are counted one by one; which of them the last, partial pass reaches follows their size.
     Only totals of sources reach the driver.
     """
@@ -94,12 +110,12 @@ def mix(
     totals = sorted(totals, key=lambda r: (r.source is None, r.source or ""))
     given = [weights[i % len(weights)] for i in range(len(totals))]
     target = targets([r["size"] for r in totals], given, most)
-    blocks = sainte_lague(np.array(target), round(sum(target) / block), np.array([most * r["size"] // block for r in totals]))
+    given = quotas(np.array(target), round(sum(target)), np.array([most * r["size"] for r in totals]), block)
     rows = [
-        (i, r.source, r["size"], target[i], int(blocks[i]), -(-r.docs // SHARD_DOCS)) for i, r in enumerate(totals)
+        (i, r.source, r["size"], target[i], int(given[i]), -(-r.docs // SHARD_DOCS)) for i, r in enumerate(totals)
     ]
     sources = spark.createDataFrame(
-        rows, "source_no int, source string, source_size long, target double, blocks long, shards int"
+        rows, "source_no int, source string, source_size long, target double, source_quota long, shards int"
     ).withColumnRenamed("source", "_source")
     if len(rows) <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
@@ -107,14 +123,14 @@ def mix(
         "order", F.xxhash64(F.lit(seed), "doc_id")
     ).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
 
-    def quotas(part: pd.DataFrame) -> pd.DataFrame:
+    def of_shards(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("shard", ignore_index=True)
-        words = part["words"].to_numpy()
-        won = sainte_lague(words, int(part["blocks"].iloc[0]), most * words // block)
-        return part.assign(quota=won * block)[["source_no", "shard", "words", "quota"]]
+        words, own = part["words"].to_numpy(), int(part["source_quota"].iloc[0])
+        quota = quotas(words * (own / max(1, words.sum())), own, most * words, block)
+        return part.assign(quota=quota)[["source_no", "shard", "words", "quota"]]
 
-    shards = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
-    quota = shards.groupBy("source_no").applyInPandas(quotas, "source_no int, shard long, words long, quota long")
+    shards = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
+    quota = shards.groupBy("source_no").applyInPandas(of_shards, "source_no int, shard long, words long, quota long")
 
     order = Window.partitionBy("source_no", "shard").orderBy("order", "doc_id", "size")
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")

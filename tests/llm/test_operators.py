@@ -332,6 +332,32 @@ def test_mixing(spark, sf_dir, odd):
     assert len(only) == odd.count() and all(r.source is None for r in only) and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_quotas_add_up():
+    import numpy as np
+
+    random.seed(4)
+    for _ in range(200):
+        sizes = [random.choice([0, random.randrange(1, 9), random.randrange(1, 500)]) for _ in range(random.randrange(1, 8))]
+        most = 3 * np.array(sizes)
+        target = np.array(mixing.targets(sizes, [random.randrange(1, 4) for _ in sizes]))
+        words = round(target.sum())
+        got = mixing.quotas(target, words, most, mixing.BLOCK_WORDS)
+        assert got.sum() == min(words, most.sum()) and (got <= most).all() and (got[target == most] == most[target == most]).all()
+        assert (abs(got - target) <= 2 * mixing.BLOCK_WORDS).all() and (got[target >= 1.5] > 0).all()
+
+
+def test_tiny_sources_take_their_targets(spark):
+    """Sources of five words, of which a large one leaves most their ceiling, and many that share alike."""
+    big = [(1000 + i, "w " * 200, "big") for i in range(20)]
+    tiny = [(i, "a b c d e", f"tiny{i:03}") for i in range(100)]
+    schema = "doc_id long, text string, source string"
+    for rows, want in ((big + tiny, 15), (tiny, None)):
+        got = mixing.mix(spark.createDataFrame(rows, schema), weights=[1.0]).collect()
+        few = [r for r in got if r.source != "big"]
+        assert all(abs(r.taken - r.target) <= 1 and r.taken > 0 for r in few) and sum(r.taken for r in got) == sum(r.size for r in got)
+        assert want is None or all(r.taken == want for r in few)
+
+
 # -- fingerprints --------------------------------------------------------------------------------
 
 
