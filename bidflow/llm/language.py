@@ -25,7 +25,6 @@ REFITS = 8
 #: Log-likelihood that another language must bring, per logarithm of the number of trigrams. Each letter
 #: counts in three trigrams, so the usual one half is tripled.
 PENALTY = 1.5
-MAX_LANGUAGES = 4
 DOCS_AT_ONCE = 256
 UNDETERMINED = "und"
 
@@ -115,7 +114,7 @@ def infer(counts: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray
     best = alone[np.arange(n), order[:, 0]]
     sure = 1 / (1 + np.exp(np.clip(alone[np.arange(n), order[:, 1]] - best, -50, 50)))
     at, value = np.arange(n), best
-    for size in range(2, min(MAX_LANGUAGES, languages) + 1):
+    for size in range(2, languages + 1):
         start = np.zeros((len(at), languages), np.float32)
         np.put_along_axis(start, order[at, :size], np.float32(1 / size), axis=1)
         fitted = refine(counts[at], start, model, REFITS)

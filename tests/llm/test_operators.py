@@ -153,6 +153,19 @@ def test_language_of_awkward_rows_and_mixtures(spark, sf_dir, odd):
     assert none == [] and language.identify(two, none, empty).first().lang_pred == "und"
 
 
+def test_as_many_languages_as_the_text_has():
+    """Six of eight languages with trigrams of their own, in known shares."""
+    import numpy as np
+
+    model = np.full((8, 80), 0.001)
+    for k in range(8):
+        model[k, 10 * k : 10 * k + 10] = 1
+    model /= model.sum(axis=1, keepdims=True)
+    want = np.array([0.3, 0.2, 0.15, 0.15, 0.1, 0.1, 0, 0])
+    shares, _ = language.infer((1000 * want @ model)[None, :].astype(np.float32), model.astype(np.float32))
+    assert np.flatnonzero(shares[0]).tolist() == list(range(6)) and abs(shares[0] - want).max() < 0.01
+
+
 # -- tokens --------------------------------------------------------------------------------------
 
 
