@@ -12,6 +12,7 @@ from bidflow.llm import (
     pieces,
     substring_dedup,
     token_counts,
+    variants,
     warc,
 )
 
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op13_variants": variants.op13_variants,
 }
-ORACLE = {"op5_exact_dedup": exact_dedup.ORACLE_OP5, "op6_warc": warc.ORACLE_OP6}
+ORACLE = {"op5_exact_dedup": exact_dedup.ORACLE_OP5, "op6_warc": warc.ORACLE_OP6, "op13_variants": variants.ORACLE_OP13}
