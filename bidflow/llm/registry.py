@@ -12,6 +12,7 @@ from bidflow.llm import (
     pieces,
     substring_dedup,
     token_counts,
+    toxicity,
     variants,
     warc,
 )
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_variants": variants.op13_variants,
 }
 ORACLE = {"op5_exact_dedup": exact_dedup.ORACLE_OP5, "op6_warc": warc.ORACLE_OP6, "op13_variants": variants.ORACLE_OP13}
