@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bidflow.llm import (
+    alignment,
     exact_dedup,
     fingerprints,
     language,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_alignment": alignment.op11_alignment,
     "op12_toxicity": toxicity.op12_toxicity,
     "op13_variants": variants.op13_variants,
 }
