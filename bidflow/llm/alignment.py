@@ -26,7 +26,7 @@ from bidflow.operators.sizing import materialize, scratch_folder
 #: Bytes of a range, and the number of fragments a task composes at once.
 RANGE = 64 << 10
 FAN = 16
-PIECE = 1 << 20
+PIECE = 1 << 19
 BLOCK = 16 << 20
 
 #: Places where both tokenizers start anew, whatever stands around: a space behind a visible ASCII character.
@@ -57,7 +57,7 @@ def _digest(text: bytes) -> str:
     return hashlib.sha256(text).hexdigest() if text else ""
 
 
-def aligned_short(docs: DataFrame, a: str, b: bytes, with_groups: bool) -> DataFrame:
+def aligned_short(docs: DataFrame, a: bytes, b: bytes, with_groups: bool) -> DataFrame:
     """The alignment of each text of docs (doc_id, text), and its distinct linked pairs with how often they are linked.
 
     A block is a number of consecutive texts of a task. No shuffle; a task holds a piece of a batch and its table.
@@ -147,7 +147,7 @@ def _read(rows: pa.Table) -> list[fr.Fragment]:
     ]
 
 
-def range_fragments(parts: DataFrame, a: str, b: bytes) -> DataFrame:
+def range_fragments(parts: DataFrame, a: bytes, b: bytes) -> DataFrame:
     """The fragment of each range: of the tokens of the bytes around it, those that start in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def range_fragments(parts: DataFrame, a: str, b: bytes) -> DataFrame:
     return parts.mapInArrow(run, FRAGMENT)
 
 
-def aligned_long(docs: DataFrame, a: str, b: bytes, with_groups: bool, longest: int) -> DataFrame:
+def aligned_long(docs: DataFrame, a: bytes, b: bytes, with_groups: bool, longest: int) -> DataFrame:
     """The same rows as `aligned_short` for texts of up to `longest` bytes, each a block of its own.
 
     Ranges are dealt over tasks, and FAN neighbouring fragments at a time become one. Only the groups and pairs

@@ -17,7 +17,7 @@ from bidflow.llm.pieces import MARK, chunks_are_independent
 from bidflow.llm.token_counts import byte_letters
 
 #: Units kept per task, the first ones met. A unit longer than LONGEST_KEPT is not, which bounds the table's bytes.
-TABLE_UNITS = 250_000
+TABLE_UNITS = 200_000
 LONGEST_KEPT = 64
 
 _GAP = re.compile(r"\s ")
@@ -36,14 +36,15 @@ def units_of(text: str) -> list[str]:
 class Tokenizers:
     """The two tokenizers, the bytes of their tokens, and the table of units."""
 
-    def __init__(self, a_definition: str, b_model: bytes):
+    def __init__(self, a_definition: bytes, b_model: bytes):
         import sentencepiece
+        import zstandard
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a_definition)
+        self.a = Tokenizer.from_str(zstandard.decompress(a_definition).decode())
         # Special strings inside texts are ordinary text.
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=zstandard.decompress(b_model))
         letters = byte_letters()
         vocabulary = self.a.get_vocab()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -135,9 +136,15 @@ class Tokenizers:
         return Tokens(*out), runs[0], runs[1], fine
 
 
-def load(a_path: str, b_path: str) -> tuple[str, bytes]:
-    """The definitions of both tokenizers; fails if units would not be independent of each other."""
-    with open(a_path, encoding="utf-8") as f:
+def load(a_path: str, b_path: str) -> tuple[bytes, bytes]:
+    """The definitions of both tokenizers, compressed; fails if units would not be independent of each other.
+
+    Spark ships a function of over a megabyte as a broadcast of its own, which each executor writes to disk
+    again whenever its memory has dropped it; compressed, both definitions travel inside the task.
+    """
+    import zstandard
+
+    with open(a_path, "rb") as f:
         a = f.read()
     with open(b_path, "rb") as f:
         b = f.read()
@@ -145,4 +152,4 @@ def load(a_path: str, b_path: str) -> tuple[str, bytes]:
     plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
     if parts["normalizer"] or not plain.items() <= parts["pre_tokenizer"].items() or not chunks_are_independent(b):
         raise ValueError("units are independent for a plain byte-level BPE and a piece BPE whose pieces do not cross white space")
-    return a, b
+    return zstandard.compress(a, 19), zstandard.compress(b, 19)
