@@ -37,7 +37,7 @@ VIEWS = {
     "control": """SELECT t AS ts, t AS sequence, CAST(1 AS BIGINT) AS count, CAST(0 AS BIGINT) AS msg, 'M' AS kind,
             b AS pos, b AS bin, (auction + b) % 4 AS worker
             FROM (SELECT *, epoch_us(date_time) AS t FROM clicks), range(8) r(b)
-            WHERE event_type = 'signup' AND auction < 10
+            WHERE event_type = 'signup'
         UNION ALL SELECT t, t, 2, p, 'D', p, CASE p WHEN 0 THEN bidder % 8 ELSE bidder // 8 % 8 END,
             CASE p WHEN 0 THEN auction % 4 ELSE auction // 4 % 4 END
             FROM (SELECT *, epoch_us(date_time) AS t FROM clicks), range(2) r(p) WHERE event_type = 'error'""",
@@ -374,9 +374,21 @@ ORACLE |= {
             WHERE v.event_type = 'view' GROUP BY ALL""",
         "clicks",
     ),
+    "stream_distribute": sql(
+        f"""SELECT event_id, e.user_id, us, bin, worker, valid_from AS valid_from_us FROM ({_EVENTS}) e JOIN history ON bin = e.user_id % 8
+            AND (valid_from IS NULL OR valid_from <= us) AND (valid_to IS NULL OR us < valid_to)""",
+        "history",
+    ),
+    "stream_event_timers_cancelled": sql(
+        f"""SELECT user_id, event_id, us + price * 1000000 AS due_us, row_number() OVER (PARTITION BY user_id
+            ORDER BY us + price * 1000000, event_id) AS position FROM ({_EVENTS}) e WHERE NOT EXISTS (SELECT 1 FROM ({_EVENTS}) s
+            WHERE s.event_type = 'signup' AND s.user_id = e.user_id AND s.us > e.us AND s.us < e.us + e.price * 1000000)""",
+        "clicks",
+    ),
     "event_timers": sql(
         f"""SELECT user_id, event_id, us + price * 1000000 AS due_us, row_number() OVER (PARTITION BY user_id
             ORDER BY us + price * 1000000, event_id) AS position FROM ({_EVENTS})""",
         "clicks",
     ),
 }
+ORACLE["stream_event_timers"] = ORACLE["event_timers"]

@@ -91,15 +91,15 @@ def auction_views(spark, d):
     )
 
 
-def control_lines(spark, d) -> DataFrame:
-    """A control log that grows with the events: some sign-ups set a full map, every error moves two bins."""
-    e = tables.clicks(spark, d).withColumn("t", scalars.micros_of("date_time"))
+def control_lines(clicks: DataFrame) -> DataFrame:
+    """A control log that grows with the events: every sign-up sets a full map, every error moves two bins."""
+    e = clicks.withColumn("t", scalars.micros_of("date_time"))
     whole_map = F.concat_ws(" ", *[((F.col("auction") + b) % WORKERS).cast("string") for b in range(1 << BIN_SHIFT)])
     moves = F.expr(
         "concat_ws(' ', CAST(bidder % 8 AS STRING), CAST(auction % 4 AS STRING), "
         "CAST((bidder div 8) % 8 AS STRING), CAST((auction div 4) % 4 AS STRING))"
     )
-    maps = e.where("event_type = 'signup' AND auction < 10").select(
+    maps = e.where("event_type = 'signup'").select(
         F.concat_ws(" ", F.lit("M"), F.col("t").cast("string"), whole_map).alias("value")
     )
     errors = e.where("event_type = 'error'").select(
@@ -110,7 +110,7 @@ def control_lines(spark, d) -> DataFrame:
 
 @query
 def control_log_scan(spark, d):
-    return logs.parse_control_lines(control_lines(spark, d))
+    return logs.parse_control_lines(control_lines(tables.clicks(spark, d)))
 
 
 def result_lines(spark, d) -> DataFrame:
@@ -400,7 +400,7 @@ def word_count_running(spark, d):
 
 
 def _log_history(spark, d):
-    control = logs.parse_control_lines(control_lines(spark, d))
+    control = logs.parse_control_lines(control_lines(tables.clicks(spark, d)))
     return routing.control_history(control, routing.initial_map(spark, 1 << BIN_SHIFT, WORKERS))
 
 

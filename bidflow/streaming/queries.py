@@ -61,59 +61,58 @@ def q8(auctions: DataFrame, people: DataFrame, window_seconds: int = 12 * 3600,
     return opened.join(joined, soon).select("seller")
 
 
+#: Auctions and bids meet per slot of this length. Longer ones repeat an auction less and keep bids longer.
+SLOT_SECONDS = 86_400
+
 CLOSED = (
     "id BIGINT, seller BIGINT, category BIGINT, initial_bid BIGINT, reserve BIGINT, opened_us BIGINT,"
     " expires_us BIGINT, bidder BIGINT, price BIGINT, bid_us BIGINT"
 )
 
 
-def closed_auctions(auctions: DataFrame, bids: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Each auction with its winning bid, emitted when the watermark passes its expiry.
+def clock(rows: DataFrame, times: dict[str, str], delay: str) -> DataFrame:
+    """No rows, in the columns of `rows`; but the stream's watermark does not pass the times of these.
 
-    An auction comes twice: when it opens and, moved by the input hook, when it closes. Bids in
-    between are folded into the best one, so an open auction's state is one row; a bid outside
-    finds no open auction and leaves nothing behind. At one time auctions go first, which makes
-    the opening inclusive and the expiry exclusive.
+    times renames a column of `rows` to the watched one. Spark lets the slowest watermark count, and the filter
+    names the watched column, which keeps it above the node that watches.
     """
-    opening = auctions.select(
-        "id", "seller", "category", "initial_bid", "reserve", "date_time",
-        F.unix_micros("date_time").alias("opened_us"), F.unix_micros("expires").alias("expires_us"),
-    )
-    offers = bids.select("auction", "bidder", "price", "date_time", F.unix_micros("date_time").alias("bid_us"))
+    ((source, watched),) = times.items()
+    return rows.withColumn(watched, F.col(source)).withWatermark(watched, delay).where(F.col(watched) < F.timestamp_micros(F.lit(-(1 << 62))))
 
-    def open_and_close(us, row):
-        return [(us, {**row, "open": True}), (row["expires_us"], {**row, "open": False})]
 
-    def on_auction(key, due, auction, best, later):
-        for _, row in due:
-            if row["open"] and row["opened_us"] < row["expires_us"]:
-                auction.set((row["reserve"],))
-                best.set(None)
-            elif not row["open"]:
-                winner = best.get()
-                if winner is not None:
-                    fields = ("seller", "category", "initial_bid", "reserve", "opened_us", "expires_us")
-                    minus_price, bid_us, bidder = winner
-                    yield (key, *[row[f] for f in fields], bidder, -minus_price, bid_us)
-                auction.clear()
-                best.clear()
-
-    def on_bid(key, due, auction, best, later):
-        reserve = auction.get()
-        if reserve is None:
-            return
-        for _, row in due:
-            if row["price"] >= reserve[0]:
-                offer = (-row["price"], row["bid_us"], row["bidder"])
-                current = best.get()
-                best.set(offer if current is None else min(tuple(current), offer))
-        yield from ()
+def closed_auctions(auctions: DataFrame, bids: DataFrame, delay: str = "0 seconds", slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Each auction with its winning bid, emitted when the watermark passes its expiry. Native operators only.
 
-    return stateful_binary(
-        opening, offers, ("id", "auction"), ("date_time", "date_time"), ("id", "bidder"), (on_auction, on_bid), CLOSED,
-        values=("reserve BIGINT", "minus_price BIGINT, bid_us BIGINT, bidder BIGINT"),
-        consume=(open_and_close, lambda us, row: [(us, row)]), delay=delay,
-    )
+    Bids meet the auctions that are open at their time in a stream-stream join on auction and slot of time, an
+    auction being in every slot it is open in; then a minimum per auction, grouped by its expiry, is emitted once
+    that is past. The slot is part of the join key and has a watermark, so both sides forget slots that are
+    over, and an auction's minimum is dropped with its expiry. Auctions hold the watermark back by their
+    opening too: one that comes after its expiry is late, one that comes before bids of its time is not.
+    """
+    length = slot_seconds * 1_000_000
+
+    def slot_of(us):
+        return F.floor(us / length)
+
+    opened = auctions.select(
+        "id", "seller", "category", "initial_bid", "reserve", F.unix_micros("date_time").alias("opened_us"),
+        F.unix_micros("expires").alias("expires_us"), "expires", F.col("date_time").alias("at"),
+    )
+    first, last = slot_of(F.col("opened_us")), slot_of(F.col("expires_us") - 1)
+    every = F.when(last > first, F.sequence(first, last)).otherwise(F.array(first))
+    open_in = opened.drop("at").withWatermark("expires", delay).withColumn("slot", F.explode(every)).withColumn("slot", F.timestamp_micros(F.col("slot") * length))
+    offers = bids.select("auction", "bidder", "price", F.unix_micros("date_time").alias("bid_us"), F.col("date_time").alias("bid_time")).withWatermark("bid_time", delay)
+    watch = opened.select(F.col("id").alias("auction"), F.lit(0).cast("bigint").alias("bidder"), F.lit(0).cast("bigint").alias("price"), F.lit(0).cast("bigint").alias("bid_us"), "at")
+    offers = offers.unionByName(clock(watch, {"at": "bid_time"}, delay).select("auction", "bidder", "price", "bid_us", "bid_time"))
+    offers = offers.withColumn("bid_slot", F.window("bid_time", f"{slot_seconds} seconds"))
+    same = (
+        (F.col("auction") == F.col("id")) & (F.col("bid_slot") == F.struct(F.col("slot").alias("start"), (F.col("slot") + F.make_interval(secs=F.lit(slot_seconds))).alias("end")))
+        & (F.col("opened_us") <= F.col("bid_us")) & (F.col("bid_us") < F.col("expires_us")) & (F.col("price") >= F.col("reserve"))
+    )
+    pairs = offers.join(open_in, same)
+    carried = ["id", "seller", "category", "initial_bid", "reserve", "opened_us", "expires_us"]
+    best = F.min(F.struct((-F.col("price")).alias("minus_price"), "bid_us", "bidder")).alias("best")
+    return pairs.groupBy(*carried, "expires").agg(best).select(*carried, "best.bidder", (-F.col("best.minus_price")).alias("price"), "best.bid_us")
 
 
 def closed_log(closed: DataFrame) -> DataFrame:

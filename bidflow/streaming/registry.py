@@ -10,10 +10,10 @@ from pyspark.sql.types import StructType
 from bidflow.functions import scalars
 from bidflow.operators.sizing import scratch_folder
 from bidflow.plans import auctions as q
-from bidflow.plans.registry import HOUR, Q5_SLICES, Q8_WINDOW
+from bidflow.plans.registry import BIN_SHIFT, HOUR, Q5_SLICES, Q8_WINDOW, WORKERS, control_lines
 from bidflow.sources import tables
-from bidflow.sources.logs import capture, replay_stream
-from bidflow.streaming import folds, queries as sq
+from bidflow.sources.logs import capture, parse_control_lines, replay_stream
+from bidflow.streaming import folds, queries as sq, routing, timers
 from bidflow.streaming.runs import read_stream, run_to_table, scan_state
 
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,7 +108,8 @@ def _closed(spark, d):
     s = _Streams(spark, d)
 
     def build(end):
-        return sq.closed_auctions(_with_end(s.auctions(), end), s.bids())
+        # Auctions of these tables last 365 days.
+        return sq.closed_auctions(_with_end(s.auctions(), end), _with_end(s.bids(), end), slot_seconds=365 * 86_400)
 
     return run_to_table(spark, build, "closed-log")
 
@@ -202,9 +203,6 @@ def stateful_unary_input(spark, d):
     """Events moved to the end of their hour by the input hook: bids so far per auction and hour."""
     hour_us = HOUR * 1_000_000
 
-    def to_slot_end(us, row):
-        return [((us // hour_us + 1) * hour_us, row)]
-
     def fold(auction, due, state, later):
         n = (state.get() or (0,))[0] + len(due)
         state.set((n,))
@@ -214,7 +212,7 @@ def stateful_unary_input(spark, d):
         clicks = _with_end(_Streams(spark, d).clicks(), end).select("auction", "event_id", "date_time")
         return folds.stateful_unary(
             clicks, "auction", "date_time", "event_id", fold, "auction BIGINT, slot_end_us BIGINT, bids BIGINT",
-            consume=to_slot_end,
+            due=(F.floor(F.unix_micros("date_time") / hour_us) + 1) * hour_us,
         )
 
     return run_to_table(spark, build, "stateful-unary-input")[0]
@@ -227,7 +225,7 @@ def stateful_binary(spark, d):
     def build(end):
         clicks = _marked_end(_Streams(spark, d).clicks().select("bidder", "event_id", "event_type", "date_time"), end)
         left = clicks.where("event_type = 'signup' OR _end").drop("event_type", "_end")
-        right = clicks.where("event_type = 'click'").drop("event_type", "_end")
+        right = clicks.where("event_type = 'click' OR _end").drop("event_type", "_end")
         return sq.latest_match_join(left, right, "bidder", "date_time", "event_id")
 
     rows = run_to_table(spark, build, "stateful-binary")[0]
@@ -241,9 +239,6 @@ def stateful_binary_input(spark, d):
     """Purchases count for the hour after them: views of a user while a purchase is that fresh."""
     hour_us = HOUR * 1_000_000
 
-    def start_and_stop(us, row):
-        return [(us, {"change": 1}), (us + hour_us, {"change": -1})]
-
     def on_purchase(user, due, fresh, unused, later):
         fresh.set(((fresh.get() or (0,))[0] + sum(row["change"] for _, row in due),))
         yield from ()
@@ -256,11 +251,52 @@ def stateful_binary_input(spark, d):
     def build(end):
         clicks = _marked_end(_Streams(spark, d).clicks().select("bidder", "event_id", "event_type", "date_time"), end)
         left = clicks.where("event_type = 'purchase' OR _end").drop("event_type", "_end")
-        right = clicks.where("event_type = 'view'").drop("event_type", "_end")
+        right = clicks.where("event_type = 'view' OR _end").drop("event_type", "_end")
+        # A purchase counts from its time on and stops an hour later.
+        left = left.withColumn("change", F.explode(F.array(F.lit(1), F.lit(-1))))
+        stops = F.unix_micros("date_time") + F.when(F.col("change") < 0, hour_us).otherwise(0)
         return folds.stateful_binary(
             left, right, ("bidder", "bidder"), ("date_time", "date_time"), ("event_id", "event_id"),
             (on_purchase, on_view), "user_id BIGINT, event_id BIGINT, fresh BIGINT",
-            consume=(start_and_stop, lambda us, row: [(us, row)]),
+            dues=(stops, None),
         )
 
     return run_to_table(spark, build, "stateful-binary-input")[0]
+
+
+@stream
+def stream_distribute(spark, d):
+    """Events routed by the control log of the same events, both as streams."""
+    s = _Streams(spark, d)
+
+    def build(end):
+        lines = control_lines(tables.clicks_of(s._table("events")))
+        parsed = parse_control_lines(lines).select(F.timestamp_micros("ts").alias("at"), "bin", "worker", F.col("msg").alias("order"))
+        records = s.clicks().select("event_id", F.col("bidder").alias("user_id"), "date_time")
+        bins = scalars.bin_of_dense("user_id", BIN_SHIFT)
+        return routing.distribute(_with_end(records, end), bins, "date_time", "event_id", _with_end(parsed, end), lambda b: b % WORKERS)
+
+    return run_to_table(spark, build, "stream-distribute")[0]
+
+
+def _timed(spark, d, name, cancelled):
+    """Every event delivered `price` seconds after its time; a sign-up drops its user's events that are not yet due."""
+
+    def build(end):
+        clicks = _marked_end(_Streams(spark, d).clicks().select("bidder", "event_id", "event_type", "price", "date_time"), end)
+        due = F.unix_micros("date_time") + F.col("price") * 1_000_000
+        cancels = clicks.where("event_type = 'signup' OR _end") if cancelled else None
+        return timers.event_timers(clicks, "bidder", "date_time", "event_id", F.when(~F.col("_end"), due), cancels=cancels)
+
+    rows = run_to_table(spark, build, name)[0]
+    return rows.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "due_us", "position")
+
+
+@stream
+def stream_event_timers(spark, d):
+    return _timed(spark, d, "stream-timers", False)
+
+
+@stream
+def stream_event_timers_cancelled(spark, d):
+    return _timed(spark, d, "stream-timers-cancelled", True)

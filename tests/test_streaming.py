@@ -56,10 +56,8 @@ def test_many_micro_batches_give_the_same_sums(spark, sf_dir, tmp_path):
     assert changelog.verify_equal(expected, found).count() == 0
 
 
-def test_busy_keys_are_merged_from_parts(spark, sf_dir, monkeypatch):
-    """Tiny chunks and buffers: every key has several overlapping parts; results stay the same."""
-    monkeypatch.setattr(folds, "CHUNK_ROWS", 3)
-    monkeypatch.setattr(folds, "BUFFER_ROWS", 10)
+def test_rows_wait_for_their_due_time(spark, sf_dir):
+    """Three busy keys whose rows are due up to six days later: folded in due order, and nothing is left."""
 
     def fold(key, due, state, later):
         n = (state.get() or (0,))[0]
@@ -73,9 +71,10 @@ def test_busy_keys_are_merged_from_parts(spark, sf_dir, monkeypatch):
         events = _with_end(sq.with_timestamps(tables.clicks_of(clicks)), end).selectExpr(
             "CAST(bidder % 3 AS BIGINT) AS k", "event_id", "date_time"
         )
+        days = F.when(F.col("event_id") >= 0, F.col("event_id") % 7).otherwise(0)
         return folds.stateful_unary(
             events, "k", "date_time", "event_id", fold, "k BIGINT, event_id BIGINT, n BIGINT, us BIGINT",
-            consume=lambda us, row: [(us + (row["event_id"] % 7) * 86_400_000_000, row)],
+            due=F.unix_micros("date_time") + days * 86_400_000_000,
         )
 
     from bidflow.plans.words import time_ordered
@@ -87,8 +86,22 @@ def test_busy_keys_are_merged_from_parts(spark, sf_dir, monkeypatch):
     )
     expected = time_ordered(due, ["k"], ["us", "event_id"]).withColumnRenamed("position", "n").select("k", "event_id", "n", "us")
     assert changelog.verify_equal(expected, found).count() == 0
-    assert scan_state(spark, checkpoint, "last_part").count() >= 3
-    assert scan_state(spark, checkpoint, "parts").count() == 0
+    # Of the queue only the end marker is left.
+    assert operator_rows(spark, checkpoint, "stateStoreSave") <= 1
+
+
+def operator_rows(spark, checkpoint, name):
+    """State rows of all operators of a name (of both sides, for a join)."""
+    found = 0
+    for op in spark.read.format("state-metadata").load(checkpoint).filter(F.col("operatorName") == name).select("operatorId", "stateStoreName").distinct().collect():
+        reader = spark.read.format("statestore").option("operatorId", op.operatorId)
+        if name == "symmetricHashJoin":
+            if op.stateStoreName != "left-keyToNumValues":
+                continue
+            found += sum(reader.option("joinSide", side).load(checkpoint).count() for side in ("left", "right"))
+        else:
+            found += reader.load(checkpoint).count()
+    return found
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
@@ -131,9 +144,10 @@ def test_timers_of_two_inputs(spark, tmp_path):
         def side(name):
             return read_stream(spark, str(tmp_path / name)).select(F.lit(1).cast("bigint").alias("k"), "d", "at")
 
-        left = side("in1").unionByName(end.select(F.lit(-1).cast("bigint").alias("k"), F.lit(-1).cast("bigint").alias("d"), F.col("time").alias("at")))
+        marker = end.select(F.lit(-1).cast("bigint").alias("k"), F.lit(-1).cast("bigint").alias("d"), F.col("time").alias("at"))
+        left, right = side("in1").unionByName(marker), side("in2").unionByName(marker)
         return folds.stateful_binary(
-            left, side("in2"), ("k", "k"), ("at", "at"), ("d", "d"), (deliver(1), deliver(2)), "n BIGINT, input INT, us BIGINT, d BIGINT"
+            left, right, ("k", "k"), ("at", "at"), ("d", "d"), (deliver(1), deliver(2)), "n BIGINT, input INT, us BIGINT, d BIGINT"
         )
 
     found, _ = run_to_table(spark, build, "timers")
@@ -149,16 +163,17 @@ def test_folds_can_schedule_rows(spark, tmp_path):
         n = (state.get() or (0,))[0]
         for us, row in due:
             n += 1
-            hop = row.get("hop", 0)
+            hop = row["hop"]
             yield (n, us // 1_000_000, row["d"], hop)
             if hop < 2:
-                later.at(us + 1_000_000, {**row, "hop": hop + 1}, order=row["d"])
+                later.at(us + 1_000_000, {"d": row["d"], "hop": hop + 1}, order=row["d"])
         state.set((n,))
 
     def build(end):
         stream = read_stream(spark, str(tmp_path / "in")).select(F.lit(1).cast("bigint").alias("k"), "d", "at")
-        marker = end.select(F.lit(-1).cast("bigint").alias("k"), F.lit(-1).cast("bigint").alias("d"), F.col("time").alias("at"))
-        return folds.stateful_unary(stream.unionByName(marker), "k", "at", "d", fold, "n BIGINT, s BIGINT, d BIGINT, hop INT")
+        stream = stream.withColumn("hop", F.lit(0))
+        marker = end.select(F.lit(-1).cast("bigint").alias("k"), F.lit(-1).cast("bigint").alias("d"), F.col("time").alias("at"), F.lit(0).alias("hop"))
+        return folds.stateful_unary(stream.unionByName(marker), "k", "at", "d", fold, "n BIGINT, s BIGINT, d BIGINT, hop INT", schedules=True)
 
     found, _ = run_to_table(spark, build, "hops")
     rows = sorted(tuple(r) for r in found.collect())
@@ -166,14 +181,120 @@ def test_folds_can_schedule_rows(spark, tmp_path):
     assert [r[0] for r in rows] == list(range(1, 10))
 
 
+def test_scheduled_rows_wait_between_triggers_and_can_be_cancelled(spark, tmp_path):
+    """Rows scheduled for hours later, over one trigger per row: typed state and timers hold them; every fourth row cancels."""
+    rows = spark.sql("SELECT id AS d, timestamp_seconds(1000 + id * 1800) AS at FROM range(12)")
+    path = _files(rows, str(tmp_path / "in"), "at", 12)
+
+    def fold(key, due, state, later):
+        for us, row in due:
+            if row["again"]:
+                yield (row["d"], us // 1_000_000)
+            elif row["d"] % 4 == 3:
+                later.cancel(lambda at, r: r["d"] % 2 == 0)
+            else:
+                later.at(us + 5 * 3_600_000_000 + row["d"], {**row, "again": True})
+
+    def build(end):
+        stream = read_stream(spark, path, files_per_trigger=1).select(F.lit(1).cast("bigint").alias("k"), "d", "at", F.lit(False).alias("again"))
+        marker = end.select(F.lit(-1).cast("bigint").alias("k"), F.lit(-1).cast("bigint").alias("d"), F.col("time").alias("at"), F.lit(False).alias("again"))
+        return folds.stateful_unary(stream.unionByName(marker), "k", "at", "d", fold, "d BIGINT, s BIGINT", schedules=True)
+
+    found, checkpoint = run_to_table(spark, build, "cancelled")
+    waiting, expected = {}, []
+    for d in range(12):
+        at = 1000 + d * 1800
+        expected += [(w, s) for w, s in waiting.items() if s <= at]
+        waiting = {w: s for w, s in waiting.items() if s > at}
+        if d % 4 == 3:
+            waiting = {w: s for w, s in waiting.items() if w % 2}
+        else:
+            waiting[d] = at + 18_000
+    expected += list(waiting.items())
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+    assert scan_state(spark, checkpoint, "waiting1").count() == 0
+
+
+def test_timers_over_many_triggers(spark, sf_dir, tmp_path):
+    """Timers with payload, with and without cancelling, one file per trigger, against the rule on all rows."""
+    from bidflow.streaming.timers import event_timers
+
+    events = sq.with_timestamps(tables.clicks(spark, sf_dir)).selectExpr("bidder % 20 AS bidder", "event_id", "event_type", "price", "date_time")
+    path = _files(events, str(tmp_path / "events"), "date_time", 6)
+    rows = [(r.bidder, r.event_id, r.event_type, r.us, r.price) for r in events.withColumn("us", F.unix_micros("date_time")).collect()]
+    for cancelling in (False, True):
+
+        def build(end):
+            stream = _with_end(read_stream(spark, path, files_per_trigger=1), end)
+            due = F.when(F.col("event_id") >= 0, F.unix_micros("date_time") + F.col("price") * 1_000_000)
+            cancels = stream.where("event_type = 'signup' OR event_id < 0") if cancelling else None
+            return event_timers(stream, "bidder", "date_time", "event_id", due, {"event_type": "string", "price": "bigint"}, cancels)
+
+        found = sorted(tuple(r) for r in run_to_table(spark, build, "timers")[0].collect())
+        kept = [
+            (k, e, us + p * 1_000_000, kind, p) for k, e, kind, us, p in rows
+            if not (cancelling and any(o[0] == k and o[2] == "signup" and us < o[3] < us + p * 1_000_000 for o in rows))
+        ]
+        expected, count = [], {}
+        for k, e, due, kind, p in sorted(kept, key=lambda r: (r[0], r[2], r[1])):
+            count[k] = count.get(k, 0) + 1
+            expected.append((k, e, due, count[k], kind, p))
+        assert found == sorted(expected)
+
+
+def test_late_control_holds_records_back(spark, tmp_path):
+    """Control arrives triggers later than the records it is for; each record still gets the version of its time."""
+    from bidflow.streaming.routing import distribute
+
+    records = spark.sql("SELECT id, id % 5 AS k, timestamp_seconds(1000 + id * 60) AS at FROM range(200)")
+    control = spark.sql("SELECT timestamp_seconds(1000 + id * 600) AS at, id % 5 AS bin, 10 + id AS worker, id AS order FROM range(20)")
+    left, right = _files(records, str(tmp_path / "records"), "at", 2), _files(control, str(tmp_path / "control"), "at", 7)
+
+    def build(end):
+        def marked(df):
+            fields = [F.col("time") if f.name == "at" else F.lit(-1).cast(f.dataType) for f in df.schema.fields]
+            return df.unionByName(end.select(*[c.alias(n) for c, n in zip(fields, df.columns)]))
+
+        stream = read_stream(spark, left, files_per_trigger=1)
+        return distribute(marked(stream), F.col("k"), "at", "id", marked(read_stream(spark, right, files_per_trigger=1)), lambda b: None if b == 4 else b, salts=3)
+
+    found = sorted((r.id, r.bin, r.worker, r.valid_from_us) for r in run_to_table(spark, build, "late-control")[0].collect())
+    expected = []
+    for i in range(200):
+        versions = [j for j in range(20) if j % 5 == i % 5 and j * 600 <= i * 60]
+        if versions:
+            expected.append((i, i % 5, 10 + versions[-1], (1000 + versions[-1] * 600) * 1_000_000))
+        elif i % 5 != 4:
+            expected.append((i, i % 5, i % 5, None))
+    assert found == expected
+
+
 def test_streamed_closed_auctions_keep_nothing(spark, sf_dir):
     """After the end no auction is open any more."""
     from bidflow.streaming.registry import _closed
 
     rows, checkpoint = _closed(spark, sf_dir)
     assert rows.count() == q.closed_auctions(tables.auctions(spark, sf_dir), tables.bids(spark, sf_dir)).count()
-    assert scan_state(spark, checkpoint, "value1").count() <= 1
-    assert scan_state(spark, checkpoint, "value2").count() == 0
+    # What is left is the end marker.
+    assert operator_rows(spark, checkpoint, "symmetricHashJoin") <= 2
+    assert operator_rows(spark, checkpoint, "stateStoreSave") == 0
+
+
+def test_closed_auctions_over_many_triggers(spark, sf_dir, tmp_path):
+    """One file per trigger and short slots: the same winners as in one batch over tables."""
+    auctions = sq.with_timestamps(tables.auctions(spark, sf_dir)).withColumn("expires", F.col("date_time") + F.expr("make_interval(0, 0, 0, id % 40)"))
+    bids = sq.with_timestamps(tables.bids(spark, sf_dir))
+    paths = [_files(df, str(tmp_path / name), "date_time", 4) for df, name in ((auctions, "auctions"), (bids, "bids"))]
+
+    def build(end):
+        streams = [_with_end(read_stream(spark, path, files_per_trigger=1), end) for path in paths]
+        return sq.closed_auctions(*streams, slot_seconds=10 * 86_400)
+
+    found, _ = run_to_table(spark, build, "closed")
+    expected = q.closed_auctions(auctions, bids)
+    columns = ["id", "seller", "reserve", "bidder", "price"]
+    assert expected.count() > 0
+    assert changelog.verify_equal(expected.select(*columns), found.select(*columns)).count() == 0
 
 
 def test_streamed_event_log(spark, sf_dir, tmp_path):
@@ -204,7 +325,8 @@ def test_records_due_after_2200_are_folded(spark, tmp_path):
         stream = read_stream(spark, path).select(F.lit(1).cast("bigint").alias("k"), "d", "at")
         marker = end.select(F.lit(-1).cast("bigint").alias("k"), F.lit(-1).cast("bigint").alias("d"), F.col("time").alias("at"))
         return folds.stateful_unary(
-            stream.unionByName(marker), "k", "at", "d", fold, "d BIGINT, us BIGINT", consume=lambda us, row: [(far.get(row["d"], us), row)]
+            stream.unionByName(marker), "k", "at", "d", fold, "d BIGINT, us BIGINT",
+            due=F.create_map(*[F.lit(x).cast("bigint") for pair in far.items() for x in pair])[F.col("d")],
         )
 
     found, _ = run_to_table(spark, build, "far")
