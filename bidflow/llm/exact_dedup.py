@@ -53,9 +53,11 @@ class DigestIndex:
         docs.select("doc_id", F.sha2(normalised(), 256).alias("digest")).write.parquet(f"{folder}/digests")
         digests = self.spark.read.schema("doc_id long, digest string").parquet(f"{folder}/digests")
         digests.groupBy("digest").agg(F.min("doc_id").alias("new_id"), F.count("*").alias("n")).join(
-            self.rows().hint("merge"), "digest", "left"
+            self.rows().withColumn("known", F.lit(True)).hint("merge"), "digest", "left"
         ).select(
-            "digest", "n", F.coalesce("keep_id", "new_id").alias("keep_id"), F.col("keep_id").isNotNull().alias("known")
+            # The row that an earlier batch kept wins, also if it has no id.
+            "digest", "n", F.when(F.col("known"), F.col("keep_id")).otherwise(F.col("new_id")).alias("keep_id"),
+            F.coalesce("known", F.lit(False)).alias("known"),
         ).write.parquet(f"{folder}/groups")
         groups = self.spark.read.schema("digest string, n long, keep_id long, known boolean").parquet(f"{folder}/groups")
         fresh = groups.select("digest", "keep_id").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
@@ -68,9 +70,14 @@ class DigestIndex:
         )
 
 
-def exact_dedup(docs: DataFrame, buckets: int = 16) -> DataFrame:
-    """One row per document against a new index of its own."""
+#: Digests in a bucket of the index, about 160 MB.
+BUCKET_ROWS = 2_000_000
+
+
+def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """One row per document against a new index of its own, with buckets for as many digests as there are rows."""
     spark = docs.sparkSession
+    buckets = buckets or max(16, -(-docs.count() // BUCKET_ROWS))
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets).add(docs)
 
 

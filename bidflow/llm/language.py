@@ -7,7 +7,6 @@ while the likelihood gains more than a penalty that grows with the document's le
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,6 @@ PENALTY = 1.5
 DOCS_AT_ONCE = 256
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -141,7 +139,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                some = [i for i, t in enumerate(texts) if langs and _LETTER.search(t)]
+                some = [i for i, t in enumerate(texts) if langs and any(map(str.isalpha, t))]
                 pred, score, shares = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
                 if some:
                     chosen, sure = infer(trigram_counts([texts[i] for i in some]), small)

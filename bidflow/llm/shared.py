@@ -56,19 +56,45 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-BASE = 0x9E3779B97F4A7C15
+#: Polynomials are taken modulo this prime. Modulo a power of two, different long texts of two letters have one
+#: hash whatever the base is.
+PRIME = (1 << 61) - 1
+BASE = 0x9E3779B97F4A7C15 % PRIME
+#: Powers kept for good; longer data is hashed in steps of so many values, which bounds the table.
+STEP = 1 << 21
 _POWERS: dict[str, np.ndarray] = {}
 
+_P, _LOW, _29, _32, _61 = np.uint64(PRIME), np.uint64(0xFFFFFFFF), np.uint64(29), np.uint64(32), np.uint64(61)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """high * 2**32 + low modulo the prime."""
+    return _reduced((high >> _29) + ((high & np.uint64((1 << 29) - 1)) << _32) + (low & _P) + (low >> _61))
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of values below it."""
+    a1, a0, b1, b0 = a >> _32, a & _LOW, b >> _32, b & _LOW
+    # 2**64 is 8 modulo the prime.
+    return _reduced(((a1 * b1) << np.uint64(3)) + _joined(a1 * b0 + a0 * b1, a0 * b0))
+
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, kept for the next call."""
+    """Powers of the base and of its inverse, up to STEP of them, kept for the next call."""
+    n = min(n, STEP)
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
+        size = min(STEP, 1 << max(16, (n - 1).bit_length()))
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, PRIME))):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate([out, _times(out, np.uint64(pow(base, len(out), PRIME)))])
+            _POWERS[name] = out
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
@@ -76,13 +102,30 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which `span_hash` takes the hash of any run of values in constant time."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=out[1:])
+    for at in range(0, len(data), STEP):
+        part = data[at : at + STEP]
+        own = up[: len(part)]
+        if part.dtype.itemsize == 1:
+            values = part.astype(np.uint64) + np.uint64(1)
+            high, low = values * (own >> _32), values * (own & _LOW)
+        else:
+            terms = _times(_reduced(_reduced(part.astype(np.uint64)) + np.uint64(1)), own)
+            high, low = terms >> _32, terms & _LOW
+        sums = _joined(np.cumsum(high), np.cumsum(low))
+        if at:
+            sums = _reduced(_times(sums, np.uint64(pow(BASE, at, PRIME))) + out[at])
+        out[at + 1 : at + 1 + len(part)] = sums
     return out
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     _, down = powers(len(sums))
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    starts = np.asarray(starts)
+    out = _times(_reduced(sums[ends] + (_P - sums[starts])), down[starts % STEP] if len(sums) > STEP else down[starts])
+    for step in range(1, -(-len(sums) // STEP)):
+        here = starts // STEP == step
+        out[here] = _times(out[here], np.uint64(pow(BASE, -step * STEP, PRIME)))
+    return mixed(out)
 
 
 SPACE = np.zeros(256, bool)
