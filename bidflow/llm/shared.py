@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             stop = max(int(np.searchsorted(ends, done + limit, side="right")), start + 1)
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
+    give_back()
+
+
+def give_back() -> None:
+    """Returns unused memory to the system at the end of a task, since Python workers serve many tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:

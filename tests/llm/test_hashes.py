@@ -1,5 +1,7 @@
 """Hashes of runs of values: the definition, long data in steps, and texts that used to have one hash."""
 
+import uuid
+
 import numpy as np
 import pytest
 from bidflow.llm import exact_dedup, fingerprints, language, near_dedup, passage_dedup, shared
@@ -47,7 +49,7 @@ def test_numerals_are_no_letters(spark):
 
 
 def test_an_earlier_row_without_an_id_wins(spark):
-    index = exact_dedup.DigestIndex(spark, "digest_index_of_the_test", 4)
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", 4)
     batches = [[(None, "a b")], [(5, "a  b")], [(6, "a b"), (7, "c")]]
     found = [index.add(spark.createDataFrame(b, "doc_id long, text string")).select("doc_id", "keep_id", "kept").collect() for b in batches]
     assert [sorted(tuple(r) for r in rows) for rows in found] == [[(None, None, True)], [(5, None, False)], [(6, None, False), (7, 7, True)]]
