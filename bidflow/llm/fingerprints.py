@@ -23,8 +23,9 @@ K = 128
 WIDTH = 5
 SPAN = float(1 << 48)
 PIECE = 1 << 20
-#: Text per range of doc_ids in `with_next`.
-RANGE_BYTES = 8 << 20
+#: Text per range of doc_ids in `with_next`, and ranges at most: beyond 128 GB they grow, sorted with spilling, and what the
+#: driver gets stays below 512 KB.
+RANGE_BYTES, RANGES = 8 << 20, 1 << 14
 LAST = -(1 << 63)
 
 
@@ -118,10 +119,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Ids are descending, null last, ties by text. Each range ends with a guest, the first document of
     the next range (of the first range, after the last), so every document is followed by its next one.
-    One shuffle of the texts; a range holds about `RANGE_BYTES`, and the driver gets two ids per range.
+    One shuffle of the texts; a range holds about `RANGE_BYTES`, and the driver gets two ids for each of at most `RANGES`.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "doc_id", text_of().alias("text"))
-    n = max(1, -(-total_bytes(rows) // RANGE_BYTES))
+    n = max(1, min(RANGES, -(-total_bytes(rows) // RANGE_BYTES)))
     edges = (
         rows.select("id").repartitionByRange(n, "id").groupBy(F.spark_partition_id().alias("p"))
         .agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("low").collect()
