@@ -37,7 +37,37 @@ def byte_phrases(data: np.ndarray) -> np.ndarray:
 
 
 def repeated_bytes(segments: Segments) -> Repeats:
-    """Stretches of windows that also occur in a document before the segment's own or in a second place."""
+    """Stretches of windows that also occur in a document before the segment's own or in a second place.
+
+    Equal windows have equal keys, so the windows of a segment that is alone under its key occur where the segment
+    does and, at most, again inside it, which is the same document: its own place is the first and needs no array.
+    """
+    count = len(segments.bounds) - 1
+    edge = np.flatnonzero(np.concatenate([[True], segments.key[1:] != segments.key[:-1], [True]]))
+    alone = np.zeros(count, bool)
+    alone[edge[:-1][np.diff(edge) == 1]] = True
+    windows = np.diff(segments.bounds) - LENGTH + 1
+    whole = np.flatnonzero(alone & segments.many)
+    none = np.zeros(len(whole), np.int64)
+    direct = Repeats(whole, none, windows[whole], segments.doc[whole], none)
+    rest = np.flatnonzero(~alone)
+    if not len(rest):
+        return direct
+    length = np.diff(segments.bounds)[rest]
+    kept = np.repeat(~alone, np.diff(segments.bounds))
+    found = repeated_in_array(
+        Segments(
+            segments.data[kept], np.concatenate([[0], np.cumsum(length)]), segments.key[rest], segments.doc[rest], segments.offset[rest],
+            segments.many[rest],
+        )
+    )
+    segment = np.concatenate([whole, rest[found.segment]])
+    order = np.argsort(segment, kind="stable")
+    return Repeats(segment[order], *(np.concatenate([getattr(direct, n), getattr(found, n)])[order] for n in ("start", "stop", "doc", "offset")))
+
+
+def repeated_in_array(segments: Segments) -> Repeats:
+    """`repeated_bytes` of segments by their suffix array."""
     count = len(segments.bounds) - 1
     length = np.diff(segments.bounds)
     # Symbol 1 ends a segment, 0 the whole.
