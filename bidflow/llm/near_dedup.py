@@ -34,6 +34,8 @@ TOKENS = 64
 TREES, BRANCHES, LEVELS = 4, 2, 4
 #: Members up to which a node is compared exhaustively, and members of one block of a node that stays large.
 SMALL, BLOCK = 200, 1000
+#: Sets of small documents that one block may hold even if they are more than `BLOCK`.
+BLOCK_BYTES = 4 << 20
 #: Standard deviations below its expectation at which the sketch of a pair is still taken for a candidate. Trees share
 #: the tokens, so what this loses (of pairs with exactly 85% in common 1.5e-7, with 80% 2e-8) no tree brings back.
 SLACK = 6.0
@@ -154,23 +156,16 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.R
         yield held
 
 
-def passes(sketches: np.ndarray, one: np.ndarray, sizes: np.ndarray, size: int, percent: int) -> np.ndarray:
-    """Numbers of equal bytes of sketches with one, and -1 where the pair cannot reach the similarity."""
-    share = percent / 100
-    least = TOKENS * share - SLACK * (TOKENS * share * (1 - share)) ** 0.5
-    equal = (sketches == one).sum(axis=1)
-    fits = (equal >= least) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
-    return np.where(fits, equal, -1)
-
-
 @dataclass
 class Block:
-    """Rows of one block of a node: class, component so far, whether it visits, set size and sketch."""
+    """Rows of one block of a node: class, component so far, whether it visits, whether it also does elsewhere (it is
+    loose in the node), set size and sketch."""
 
     rows: pa.Table
     rep: np.ndarray
     label: np.ndarray
     visitor: np.ndarray
+    loose: np.ndarray
     size: np.ndarray
     sketch: np.ndarray
 
@@ -178,7 +173,7 @@ class Block:
 def block_of(group: list[pa.RecordBatch]) -> Block:
     rows = pa.Table.from_batches(group).combine_chunks()
     raw = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), "<u4").reshape(-1, TOKENS)
-    return Block(rows, *(rows.column(c).to_numpy() for c in ("rep", "label", "visitor", "n_shingles")), raw)
+    return Block(rows, *(rows.column(c).to_numpy() for c in ("rep", "label", "visitor", "loose", "n_shingles")), raw)
 
 
 def passes(block: Block, others, one: int, percent: int) -> np.ndarray:
@@ -210,11 +205,61 @@ def first_links(percent: int):
 
 
 def apart(block: Block, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each visitor of a block with the rows that are similar by sketch and in another component."""
+    """Each visitor of a block with the hosts that are similar by sketch and in another component.
+
+    Two loose classes visit each other's blocks, so the one with the smaller id waits for the other.
+    """
+    hosts = np.flatnonzero(~block.visitor)
+    if not len(hosts):
+        return
+    sketch, rep, label, loose, size = (v[hosts] for v in (block.sketch, block.rep, block.label, block.loose, block.size))
+    share = percent / 100
+    least = TOKENS * share - SLACK * (TOKENS * share * (1 - share)) ** 0.5
     for i in np.flatnonzero(block.visitor):
-        found = np.flatnonzero((passes(block, slice(None), i, percent) >= 0) & (block.label != block.label[i]))
-        if len(found):
-            yield i, found
+        own = block.size[i]
+        fits = (label != block.label[i]) & (~loose | (rep < block.rep[i]))
+        fits &= 100 * np.minimum(size, own) >= percent * np.maximum(size, own)
+        some = np.flatnonzero(fits)
+        if len(some):
+            some = some[(sketch[some] == block.sketch[i]).sum(axis=1, dtype=np.uint8) >= least]
+        if len(some):
+            yield i, hosts[some]
+
+
+#: Places of the table in which `Sets` counts; a power of two.
+PLACES = 1 << 20
+
+
+class Sets:
+    """Full sets of the rows of a block, counted against one of them in bulk."""
+
+    def __init__(self, column: pa.ListArray):
+        self.bounds = np.array(column.offsets, np.int64)
+        self.values = np.array(column.values)
+        self.place = (self.values & (PLACES - 1)).astype(np.int32)
+        self.marks = np.zeros(PLACES, bool)
+
+    def of(self, row: int) -> np.ndarray:
+        return self.values[self.bounds[row] : self.bounds[row + 1]]
+
+    def similar(self, row: int, others: np.ndarray, percent: int) -> list[int]:
+        """Those of other rows with 100 * intersection >= percent * union. Values that share a place can only
+        make the first count too large, and what passes it is counted by value."""
+        size = self.bounds[others + 1] - self.bounds[others]
+        mine = self.place[self.bounds[row] : self.bounds[row + 1]]
+        self.marks[mine] = True
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(self.bounds[others] - (ends - size), size)
+        most = np.add.reduceat(self.marks[self.place[at]], ends - size, dtype=np.int64)
+        self.marks[mine] = False
+        out = []
+        own = self.of(row)
+        for j in others[100 * most >= percent * (len(own) + size - most)].tolist():
+            other = self.of(j)
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if 100 * both >= percent * (len(own) + len(other) - both):
+                out.append(j)
+        return out
 
 
 def still_apart(percent: int):
@@ -241,9 +286,7 @@ def confirmed_links(percent: int):
         for group in by_group(batches, 2):
             block = block_of(group)
             path = block.rows.column("path")[0].as_py()
-            sets = block.rows.column("shingles").combine_chunks()
-            bounds = np.array(sets.offsets)
-            values = np.array(sets.values)
+            sets = Sets(block.rows.column("shingles").combine_chunks())
             earlier = [{p for p in paths if p < path} for paths in block.rows.column("paths").to_pylist()]
             up = {label: label for label in block.label.tolist()}
 
@@ -254,16 +297,12 @@ def confirmed_links(percent: int):
                 return label
 
             for i, found in apart(block, percent):
-                own = values[bounds[i] : bounds[i + 1]]
-                for j in found.tolist():
+                for j in sets.similar(i, found, percent):
                     a, b = top(block.label[i].item()), top(block.label[j].item())
                     if a == b or not earlier[i].isdisjoint(earlier[j]):
                         continue
-                    other = values[bounds[j] : bounds[j + 1]]
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(other) - both):
-                        up[max(a, b)] = min(a, b)
-                        out.append((min(block.rep[i], block.rep[j]), max(block.rep[i], block.rep[j])))
+                    up[max(a, b)] = min(a, b)
+                    out.append((min(block.rep[i], block.rep[j]), max(block.rep[i], block.rep[j])))
         columns = np.array(out, np.int64).reshape(-1, 2).T
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
 
@@ -326,9 +365,9 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     large = tree.filter(F.col("members") > BLOCK)
     heads = large.groupBy("path", "members").agg(F.min("rep").alias("rep")).join(classes, "rep")
     heads = heads.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    columns = ["path", "block", "rep", "label", "visitor", "n_shingles", "tokens"]
+    columns = ["path", "block", "rep", "label", "visitor", "loose", "n_shingles", "tokens"]
     bare = members.withColumn("block", block).unionByName(heads)
-    bare = bare.withColumn("label", F.lit(0).cast("long")).withColumn("visitor", F.lit(False))
+    bare = bare.withColumn("label", F.lit(0).cast("long")).withColumn("visitor", F.lit(False)).withColumn("loose", F.lit(False))
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("path", "block").sortWithinPartitions("path", "block", "rep")
@@ -361,18 +400,30 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     first = components(links)
 
-    # Round two: what is not in the component of a node's first member visits all blocks of the node.
+    # Round two: what is not in the component of a node's first member is loose and visits all members of the node.
+    # Members are dealt to blocks of hosts, loose ones to blocks of visitors, and each pair of blocks is one group.
     labelled = kept(tree.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     main = labelled.groupBy("path").agg(F.min("rep").alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
     main = main.filter("low <> high").select("path", "head").join(
         labelled.select("path", F.col("rep").alias("head"), F.col("label").alias("main")), ["path", "head"]
     )
-    split = labelled.join(main.select("path", "main"), "path").join(classes, "rep")
-    visitors = split.filter("label <> main").withColumn("visitor", F.lit(True))
-    visitors = visitors.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    hosts = split.withColumn("visitor", F.lit(False)).withColumn("block", block)
-    schema = "path long, block int, rep long, label long, visitor boolean, n_shingles long, tokens binary"
-    open_ = kept(dealt(hosts.unionByName(visitors).select(columns)).mapInArrow(still_apart(percent), schema))
+    split = kept(labelled.join(main.select("path", "main"), "path").join(classes, "rep").withColumn("loose", F.col("label") != F.col("main")))
+    weight = 8 * F.col("n_shingles") + 4 * TOKENS
+
+    def cut(rows, size):
+        """Blocks of `BLOCK` rows, or fewer ones of `BLOCK_BYTES` where sets are small."""
+        return F.greatest(F.lit(1), F.least(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES))).cast("long")
+
+    widths = split.groupBy("path").agg(
+        cut(F.count("*"), F.sum(weight)).alias("wide"), cut(F.count_if("loose"), F.sum(F.when(F.col("loose"), weight))).alias("high")
+    )
+    split = split.join(widths, "path")
+    x, y = F.pmod(F.xxhash64("rep"), F.col("wide")), F.pmod(F.xxhash64("rep", F.lit("visitor")), F.col("high"))
+    every_x, every_y = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("wide", "high"))
+    visitors = split.filter("loose").withColumn("visitor", F.lit(True)).withColumn("x", every_x).withColumn("block", F.col("x") * F.col("high") + y)
+    hosts = split.withColumn("visitor", F.lit(False)).withColumn("y", every_y).withColumn("block", x * F.col("high") + F.col("y"))
+    schema = "path long, block long, rep long, label long, visitor boolean, loose boolean, n_shingles long, tokens binary"
+    open_ = kept(dealt(hosts.select(columns).unionByName(visitors.select(columns))).mapInArrow(still_apart(percent), schema))
     reps = open_.select("rep").distinct()
     # A class is in at most TREES * BRANCHES ** LEVELS nodes.
     paths = tree.join(reps, "rep", "left_semi").groupBy("rep").agg(F.collect_set("path").alias("paths"))

@@ -119,6 +119,20 @@ def test_repeats(docs, rows, odd, repeated, scale, monkeypatch):
         assert got == sorted(brute.passage_dedup(plain), key=str)
 
 
+@pytest.mark.parametrize("scale", [None, (700, 900, 2)])
+def test_repeats_that_stand_alone_under_their_key(spark, scale, monkeypatch):
+    """Periodic texts, whole copies, and copies that share only a part, in one corpus."""
+    if scale:
+        for name, value in zip(("GROUP_BYTES", "BUCKET_BYTES", "HOT_GROUPS"), scale):
+            monkeypatch.setattr(passages, name, value)
+    random.seed(5)
+    passage = "".join(random.choice("abcdefgh ") for _ in range(400))
+    plain = [(1, "ab" * 90), (2, passage), (3, "ab" * 60 + passage[:120]), (4, passage), (5, "x" * 300), (6, passage[50:260] + "y" * 60)]
+    plain += [(7, "x" * 80 + passage[200:]), (8, "z" * 200), (9, "z" * 200), (10, "q" * 49)]
+    got = found(substring_dedup.substring_dedup(spark.createDataFrame(plain, "doc_id long, text string"), with_text=False), *SUBSTRING)
+    assert got == sorted(brute.substring_dedup(plain), key=str)
+
+
 def test_kept_texts_and_spans(spark):
     text = "0123456789" * 6
     df = spark.createDataFrame([(1, text), (2, "é" + text + "tail")], "doc_id long, text string")
@@ -273,6 +287,7 @@ def test_near_dedup(spark, docs, rows, odd, small, block, monkeypatch):
     """Also with nodes that count as large, which branch or are cut into blocks."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block << 12)
     edited = near_copies()
     for df, plain in ((docs, rows), (odd, [(r[0], r[1]) for r in awkward()]), (spark.createDataFrame(edited, "doc_id long, text string"), edited)):
         want = brute.near_dedup(plain)
@@ -281,6 +296,35 @@ def test_near_dedup(spark, docs, rows, odd, small, block, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def half_alike(n):
+    """Texts with 75 of 100 words in common, which no token divides well, and a near copy of every tenth."""
+    common = [f"common{i}" for i in range(75)]
+    out = [common + [f"d{d}w{i}" for i in range(25)] for d in range(n)]
+    for words in out[::10]:
+        out.append([*words[:90], "changed", *words[91:]])
+    return [(i, " ".join(words)) for i, words in enumerate(out)]
+
+
+@pytest.mark.parametrize("block,size", [(1000, 4 << 20), (60, 1 << 15)])
+def test_near_dedup_of_half_alike_texts(spark, block, size, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+    plain = half_alike(400)
+    got = near_dedup.near_dedup(spark.createDataFrame(plain, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_dedup(plain)
+
+
+def test_sets_count_by_value_where_places_clash():
+    import numpy as np
+    import pyarrow as pa
+
+    step = near_dedup.PLACES
+    rows = [np.arange(100), np.arange(100) + step, np.arange(8, 108), np.arange(1, 101)]  # the second has the places of the first
+    sets = near_dedup.Sets(pa.array([sorted(r.tolist()) for r in rows], pa.list_(pa.int64())))
+    assert sets.similar(0, np.array([1, 2, 3]), 85) == [2, 3]
+    assert sets.similar(0, np.array([1, 2, 3]), 90) == [3]
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_sketches_lose_hardly_any_link(percent):
     """Of pairs exactly at the threshold, fewer than one in a million have too few equal tokens to be compared."""
