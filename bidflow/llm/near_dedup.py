@@ -226,8 +226,8 @@ def apart(block: Block, percent: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i, hosts[some]
 
 
-#: Places of the table in which `Sets` counts; a power of two.
-PLACES = 1 << 20
+#: Places of the table in which `Sets` counts, a power of two, and values it takes up at a time.
+PLACES, STEP = 1 << 20, 1 << 17
 
 
 class Sets:
@@ -236,7 +236,6 @@ class Sets:
     def __init__(self, column: pa.ListArray):
         self.bounds = np.array(column.offsets, np.int64)
         self.values = np.array(column.values)
-        self.place = (self.values & (PLACES - 1)).astype(np.int32)
         self.marks = np.zeros(PLACES, bool)
 
     def of(self, row: int) -> np.ndarray:
@@ -245,15 +244,24 @@ class Sets:
     def similar(self, row: int, others: np.ndarray, percent: int) -> list[int]:
         """Those of other rows with 100 * intersection >= percent * union. Values that share a place can only
         make the first count too large, and what passes it is counted by value."""
+        own = self.of(row)
         size = self.bounds[others + 1] - self.bounds[others]
-        mine = self.place[self.bounds[row] : self.bounds[row + 1]]
+        most = np.empty(len(others), np.int64)
+        mine = own & (PLACES - 1)
         self.marks[mine] = True
         ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(self.bounds[others] - (ends - size), size)
-        most = np.add.reduceat(self.marks[self.place[at]], ends - size, dtype=np.int64)
+        start = 0
+        while start < len(others):
+            # A bounded number of values at a time, one set at least.
+            done = ends[start] - size[start]
+            stop = max(start + 1, int(np.searchsorted(ends, done + STEP, side="right")))
+            part = size[start:stop]
+            first = ends[start:stop] - part - done
+            at = np.arange(part.sum()) + np.repeat(self.bounds[others[start:stop]] - first, part)
+            most[start:stop] = np.add.reduceat(self.marks[self.values[at] & (PLACES - 1)], first, dtype=np.int64)
+            start = stop
         self.marks[mine] = False
         out = []
-        own = self.of(row)
         for j in others[100 * most >= percent * (len(own) + size - most)].tolist():
             other = self.of(j)
             both = len(np.intersect1d(own, other, assume_unique=True))

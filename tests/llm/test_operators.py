@@ -314,12 +314,13 @@ def test_near_dedup_of_half_alike_texts(spark, block, size, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_dedup(plain)
 
 
-def test_sets_count_by_value_where_places_clash():
+@pytest.mark.parametrize("step", [1, 250, 1 << 17])
+def test_sets_count_by_value_where_places_clash(step, monkeypatch):
     import numpy as np
     import pyarrow as pa
 
-    step = near_dedup.PLACES
-    rows = [np.arange(100), np.arange(100) + step, np.arange(8, 108), np.arange(1, 101)]  # the second has the places of the first
+    monkeypatch.setattr(near_dedup, "STEP", step)
+    rows = [np.arange(100), np.arange(100) + near_dedup.PLACES, np.arange(8, 108), np.arange(1, 101)]  # the second has the places of the first
     sets = near_dedup.Sets(pa.array([sorted(r.tolist()) for r in rows], pa.list_(pa.int64())))
     assert sets.similar(0, np.array([1, 2, 3]), 85) == [2, 3]
     assert sets.similar(0, np.array([1, 2, 3]), 90) == [3]
