@@ -113,19 +113,20 @@ FROM (SELECT run, CAST(sum(bucket - prev) AS BIGINT) AS duration, {inner_maxima}
         JOIN (SELECT run, min(bucket) AS baseline FROM ccdf WHERE share <= 0.7 GROUP BY run) b ON b.run = n.run) s
     WINDOW w AS (PARTITION BY run ORDER BY r ROWS UNBOUNDED PRECEDING))
     WHERE slow AND last_taken > coalesce(last_calm, -1) GROUP BY run) o
-FULL JOIN (SELECT run, CAST(sum(latency) AS BIGINT) AS reported_sum, max(latency) AS reported_max FROM bucketed
-    WHERE auction = 0 GROUP BY run) r ON o.run = r.run
+FULL JOIN (SELECT 'user=' || bidder AS run, CAST(sum(price) AS BIGINT) AS reported_sum, max(price) AS reported_max FROM clicks
+    WHERE event_type = 'purchase' GROUP BY ALL) r ON o.run = r.run
 WHERE coalesce(duration, 0) > 0 OR coalesce(reported_sum, 0) > 0"""
 
 
 def _incident():
-    heads = sql("", "timeline", "ccdf").rstrip()
+    heads = sql("", "timeline", "ccdf").rstrip().replace("event_type AS run", "'user=' || bidder AS run")
     steps = """, numbered AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY bucket) - 1 AS r,
         lag(bucket) OVER (PARTITION BY run ORDER BY bucket) AS prev FROM timeline),
     step AS (SELECT run, bucket - prev AS width FROM numbered WHERE r = 1),
-    due AS (SELECT run, t + width AS due_at, row_number() OVER (PARTITION BY run ORDER BY t) - 1 AS j
-        FROM step, (VALUES (19727), (19728), (19742)) v(t)),
-    elig AS (SELECT run, j, (SELECT greatest(min(n.r), 1) FROM numbered n WHERE n.run = due.run AND n.bucket >= due.due_at) AS e FROM due),
+    due AS (SELECT run, t + width AS due_at, row_number() OVER (PARTITION BY run ORDER BY t) - 1 AS j FROM step
+        JOIN (SELECT 'user=' || bidder AS run, CAST(epoch_us(date_time) // 86400000000 AS BIGINT) AS t FROM clicks
+            WHERE event_type = 'signup') USING (run)),
+    elig AS (SELECT run, j, (SELECT CASE WHEN min(n.r) < 1 THEN 1 ELSE min(n.r) END FROM numbered n WHERE n.run = due.run AND n.bucket >= due.due_at) AS e FROM due),
     taken AS (SELECT run, j + max(e - j) OVER (PARTITION BY run ORDER BY j ROWS UNBOUNDED PRECEDING) AS tr FROM elig WHERE e IS NOT NULL) """
     return heads + steps + _INCIDENT.format(
         maxima=", ".join(f"coalesce(max_{c}, 0) AS max_{c}" for c in _LEVEL_NAMES),

@@ -527,13 +527,13 @@ def ccdf_table(spark, d):
 
 @query
 def incident_breakdown(spark, d):
-    samples = _latencies(spark, d)
-    timeline = latency.quantile_timeline(samples, "run", _day_bucket(), "latency").withColumnRenamed("bucket", "time")
-    base = latency.baseline(latency.ccdf(samples, "run", "latency"))
-    runs = samples.select("run").distinct()
-    # Triggers on 2024-01-05, 2024-01-06 and 2024-01-20, as days since 1970.
-    triggers = runs.select("run", F.explode(F.array(*[F.lit(t).cast("bigint") for t in (19727, 19728, 19742)])).alias("time"))
-    reported = samples.where("auction = 0").select("run", F.col("latency").alias("duration"))
+    """A run per user: every event is a latency sample, every sign-up a trigger, every purchase reports a duration."""
+    run = F.concat(F.lit("user="), F.col("bidder").cast("string"))
+    events = tables.clicks(spark, d).select(run.alias("run"), "event_type", "date_time", F.col("price").alias("latency"))
+    timeline = latency.quantile_timeline(events, "run", _day_bucket(), "latency").withColumnRenamed("bucket", "time")
+    base = latency.baseline(latency.ccdf(events, "run", "latency"))
+    triggers = events.where("event_type = 'signup'").select("run", _day_bucket().cast("bigint").alias("time"))
+    reported = events.where("event_type = 'purchase'").select("run", F.col("latency").alias("duration"))
     return latency.incident_breakdown(timeline, triggers, base, reported)
 
 

@@ -239,6 +239,7 @@ def sequential_incidents(p50s, triggers, base):
         ([9, 9, 9, 9, 9, 1, 9, 9, 7], [0, 0, 5]),
         ([1, 9, 1, 9, 8, 9, 1, 1, 9, 9], [0, 1, 2, 7]),
         ([9, 1, 1], [8]),
+        ([1, 9, 1, 9, 9, 1, 9], [0, 0, 6, 6, 7]),
         ([5, 9, 9, 1, 9, 6, 9, 9, 9, 1, 9], [3, 3, 3, 4]),
     ],
 )
