@@ -101,7 +101,7 @@ class Later:
         self.cancelled.append(test)
 
 
-class _Fold(StatefulProcessor):
+class Fold(StatefulProcessor):
     def __init__(self, folds, value_schemas, item_schemas, record_schemas, names, output_fields, schedules):
         self.folds, self.schedules, self.names = folds, schedules, names
         self.value_schemas, self.item_schemas, self.record_schemas = value_schemas, item_schemas, record_schemas
@@ -227,7 +227,7 @@ def _run(inputs, delay, folds, values, items, output, dues, schedules):
     records = [df.schema["record"].dataType[f"r{i}"].dataType for i, df in enumerate(inputs, 1)]
     schemas = [", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.fields) for s in records]
     names = [s.fieldNames() for s in records]
-    processor = _Fold(folds, values, items, schemas, names, StructType.fromDDL(output).fieldNames(), schedules)
+    processor = Fold(folds, values, items, schemas, names, StructType.fromDDL(output).fieldNames(), schedules)
     slots = (
         _union(inputs, delay, [d is not None for d in dues])
         .groupBy("key", F.window("_due", f"{SLOT_SECONDS} seconds").alias("_slot"))

@@ -274,7 +274,7 @@ def stream_distribute(spark, d):
         parsed = parse_control_lines(lines).select(F.timestamp_micros("ts").alias("at"), "bin", "worker", F.col("msg").alias("order"))
         records = s.clicks().select("event_id", F.col("bidder").alias("user_id"), "date_time")
         bins = scalars.bin_of_dense("user_id", BIN_SHIFT)
-        return routing.distribute(_with_end(records, end), bins, "date_time", "event_id", _with_end(parsed, end), lambda b: b % WORKERS)
+        return routing.distribute(_with_end(records, end), bins, "date_time", "event_id", _with_end(parsed, end), lambda b: b % WORKERS, slot_seconds=HOUR)
 
     return run_to_table(spark, build, "stream-distribute")[0]
 

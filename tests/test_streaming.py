@@ -269,6 +269,21 @@ def test_late_control_holds_records_back(spark, tmp_path):
     assert found == expected
 
 
+def test_waiting_control_is_held_once(spark, tmp_path):
+    """While control waits, state has one row per bin and slot, not one per key that a bin's records are dealt over."""
+    from bidflow.streaming.routing import distribute
+
+    records = spark.sql("SELECT id, id % 2 AS k, timestamp_seconds(id) AS at FROM range(100)")
+    control = spark.sql("SELECT timestamp_seconds(id) AS at, id % 2 AS bin, id AS worker, id AS order FROM range(100)")
+    left, right = _files(records, str(tmp_path / "records"), "at", 1), _files(control, str(tmp_path / "control"), "at", 1)
+
+    def build(end):
+        return distribute(read_stream(spark, left), F.col("k"), "at", "id", read_stream(spark, right), lambda b: b, slot_seconds=1000)
+
+    checkpoint = run_to_table(spark, build, "held-once", flush=False)[1]
+    assert operator_rows(spark, checkpoint, "stateStoreSave") == 2
+
+
 def test_streamed_closed_auctions_keep_nothing(spark, sf_dir):
     """After the end no auction is open any more."""
     from bidflow.streaming.registry import _closed
