@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bidflow.operators.ordered import running
+from bidflow.operators.sizing import materialize, reusable
 
 # A broadcast history has at most this many intervals (about 40 bytes each) in all, and few enough
 # per bin that testing a record against each of them stays cheap.
@@ -46,7 +47,8 @@ def control_history(control: DataFrame, initial: DataFrame) -> DataFrame:
     """Intervals per bin. Within one time later instructions win: by sequence, then by position.
 
     A full map and a move both become assignments of single bins, so the history grows with the
-    instructions and not with bins x versions.
+    instructions and not with bins x versions. Assignments and history are written once: a log line holds many
+    assignments, so what is scanned says little about their number, and both are read several times.
     """
     assigned = (
         control.where("kind != 'N'")
@@ -56,10 +58,9 @@ def control_history(control: DataFrame, initial: DataFrame) -> DataFrame:
     start = initial.select(
         "bin", F.lit(None).cast(assigned.schema["valid_from"].dataType).alias("valid_from"), "worker"
     )
-    versions = start.unionByName(assigned)
-    return running(
-        versions, ["bin"], ["valid_from"], following={"valid_to": F.col("valid_from")}
-    ).select("bin", "worker", "valid_from", "valid_to")
+    versions = materialize(start.unionByName(assigned))
+    history = running(versions, ["bin"], ["valid_from"], following={"valid_to": F.col("valid_from")})
+    return materialize(history.select("bin", "worker", "valid_from", "valid_to"))
 
 
 def distribute(records: DataFrame, bin_of: Column, time: str, history: DataFrame) -> DataFrame:
@@ -133,9 +134,10 @@ def moved_bins(history: DataFrame, routed: DataFrame) -> DataFrame:
     """Bins that changed worker between versions: (ts, bin, old_worker, new_worker, rows).
 
     `rows` is what the bin held before the change. Records are counted per interval and the counts
-    are accumulated, so no record meets more than its own interval.
+    are accumulated, so no record meets more than its own interval. The counts are written once, as running sums
+    in slices read their input several times and records would be routed anew each time.
     """
-    held = routed.groupBy("bin", "valid_from").agg(F.count(F.lit(1)).alias("_rows"))
+    held = reusable(routed.groupBy("bin", "valid_from").agg(F.count(F.lit(1)).alias("_rows")))
     h = history.select("bin", "worker", "valid_from")
     held = held.select(F.col("bin").alias("_b"), F.col("valid_from").alias("_v"), "_rows")
     counted = h.join(

@@ -62,11 +62,12 @@ def parse_control_lines(lines: DataFrame) -> DataFrame:
     A move line without moves has no rows. A line that starts with any other letter, or a move without
     its worker, is an error.
     """
-    words = F.split(F.trim("value"), r"\s+")
-    parsed = lines.where(F.length(F.trim("value")) > 0).select(
-        words[0].alias("kind"),
-        words[1].cast("bigint").alias("ts"),
-        F.transform(F.slice(words, 3, F.size(words)), lambda w: w.cast("bigint")).alias("args"),
+    # A column of its own, so that a line is split once.
+    words = lines.where(F.length(F.trim("value")) > 0).select(F.split(F.trim("value"), r"\s+").alias("w"))
+    parsed = words.select(
+        F.col("w")[0].alias("kind"),
+        F.col("w")[1].cast("bigint").alias("ts"),
+        F.transform(F.slice("w", 3, F.size("w")), lambda w: w.cast("bigint")).alias("args"),
     )
     checked = parsed.withColumn(
         "kind",

@@ -307,3 +307,34 @@ def test_records_that_no_map_routes(spark, monkeypatch, intervals):
     records = spark.createDataFrame([(1, 0, 5), (2, 0, 10), (3, 9, 5), (4, None, 5), (5, 0, None)], "id long, b long, at long")
     found = routing.distribute(records, F.col("b"), "at", history)
     assert sorted((r.id, r.worker) for r in found.collect()) == [(1, 7), (2, 8)]
+
+
+def leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_history_is_written_once(spark):
+    """Who reads a history does not parse its control log again."""
+    lines = spark.createDataFrame([("M 100 0 1",), ("D 200 1 0",)], "value STRING")
+    history = routing.control_history(logs.parse_control_lines(lines), routing.initial_map(spark, 2, 2))
+    plan = history._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    assert sorted((r.bin, r.valid_from or 0, r.worker, r.valid_to) for r in history.collect()) == [
+        (0, 0, 0, 100), (0, 100, 0, None), (1, 0, 1, 100), (1, 100, 1, 200), (1, 200, 0, None),
+    ]
+
+
+def test_moved_bins_in_slices_routes_once(spark):
+    """In slices the plan reads what was counted, not the records for each of its parts."""
+    history = spark.createDataFrame([(0, 0, None, 100), (0, 1, 100, None)], "bin BIGINT, worker BIGINT, valid_from BIGINT, valid_to BIGINT")
+    records = spark.createDataFrame([(i, 90 + i) for i in range(20)], "id BIGINT, us BIGINT")
+    small, size = "spark.bidflow.smallInputBytes", "spark.bidflow.sliceBytes"
+    spark.conf.set(small, "0")
+    spark.conf.set(size, "2000")
+    try:
+        found = routing.moved_bins(history, routing.distribute(records, F.lit(0).cast("bigint"), "us", history))
+        assert rows(found) == [(100, 0, 0, 1, 10)]
+        assert "us#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(small)
+        spark.conf.unset(size)
