@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidflow.functions.scalars import histogram_bucket
 from bidflow.operators.ordered import running
-from bidflow.operators.sizing import reusable
+from bidflow.operators.sizing import is_small, materialize, reusable
 from bidflow.operators.skew import balanced_join
 from bidflow.sources.logs import QUANTILE_COLUMNS, param_type, run_params
 
@@ -83,24 +83,31 @@ def incident_breakdown(
 
     A trigger is eligible at the first bucket one interval after it, one trigger is taken per
     bucket, and a slow bucket counts while no bucket since the last taken trigger was not slow.
-    All tables have one row per time bucket or less: raw samples are never touched here.
+    All tables have one row per time bucket or less: raw samples are never touched here. Larger inputs are written
+    between the ordered passes, since each pass in slices reads its input several times.
     """
+    large = not is_small(timeline, triggers, base)
+
+    def once(df: DataFrame) -> DataFrame:
+        return materialize(df) if large else df
+
+    timeline = once(timeline)
     rows = running(timeline, ["run"], ["time"], rank="_rank", previous={"_prev": F.col("time")})
-    rows = rows.withColumn("_r", F.col("_rank") - 1).drop("_rank")
+    rows = once(rows.withColumn("_r", F.col("_rank") - 1).drop("_rank"))
     interval = rows.where("_r = 1").select(F.col("run").alias("_irun"), (F.col("time") - F.col("_prev")).alias("_interval"))
 
     # First bucket at or after trigger time + interval: one ordered pass over both tables.
     due = balanced_join(triggers.select("run", "time"), interval, "run", "_irun").select(
         "run", (F.col("time") + F.col("_interval")).alias("_at"), F.lit(0).alias("_tag"), F.lit(None).cast("bigint").alias("_r")
     )
-    marks = due.unionByName(rows.select("run", F.col("time").alias("_at"), F.lit(1).alias("_tag"), "_r"))
+    marks = once(due.unionByName(rows.select("run", F.col("time").alias("_at"), F.lit(1).alias("_tag"), "_r")))
     eligible = (
         running(marks, ["run"], ["_at", "_tag"], following={"_elig": F.col("_r")})
         .where("_tag = 0 AND _elig IS NOT NULL")
         .withColumn("_elig", F.greatest("_elig", F.lit(1).cast("bigint")))
     )
     # Equal triggers share (_at, _elig), so any order among them gives the same set of rows.
-    numbered = running(eligible.select("run", "_elig", "_at"), ["run"], ["_at"], rank="_j")
+    numbered = once(running(once(eligible.select("run", "_elig", "_at")), ["run"], ["_at"], rank="_j"))
     taken = running(
         numbered, ["run"], ["_j"], maxima={"_ahead": F.col("_elig") - F.col("_j")}
     ).select(F.col("run").alias("_trun"), (F.col("_j") + F.col("_ahead")).alias("_tr"))
@@ -110,7 +117,7 @@ def incident_breakdown(
         with_taken, base.select(F.col("run").alias("_brun"), "baseline"), "run", "_brun"
     ).withColumn("_slow", F.col("p50") > 2 * F.col("baseline"))
     state = running(
-        marked,
+        once(marked),
         ["run"],
         ["time"],
         maxima={

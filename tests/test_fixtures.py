@@ -338,3 +338,20 @@ def test_moved_bins_in_slices_routes_once(spark):
     finally:
         spark.conf.unset(small)
         spark.conf.unset(size)
+
+
+def test_incidents_in_slices_read_each_pass_once(spark):
+    """Passes that follow each other do not multiply the reads of the input."""
+    t, base = spark.createDataFrame([("r", 1)], "run STRING, time BIGINT"), spark.createDataFrame([("r", 2)], "run STRING, baseline BIGINT")
+    line = timeline(spark, [1, 1, 9, 9, 1, 9, 1, 9])
+    expected = rows(latency.incident_breakdown(line, t, base))
+    small, size = "spark.bidflow.smallInputBytes", "spark.bidflow.sliceBytes"
+    spark.conf.set(small, "0")
+    spark.conf.set(size, "2000")
+    try:
+        found = latency.incident_breakdown(line, t, base)
+        assert rows(found) == expected
+        assert leaves(found) <= 6
+    finally:
+        spark.conf.unset(small)
+        spark.conf.unset(size)
