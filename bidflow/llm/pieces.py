@@ -19,7 +19,7 @@ from bidflow.llm.shared import pieces, table, text_of
 
 MARK = "▁"
 #: Chunks kept per task, and the longest one kept; both bound memory, others are segmented once per piece of a batch.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 100_000
 LONGEST_KEPT = 64
 PIECE = 1 << 20
 END_ID = 2
