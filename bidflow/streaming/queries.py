@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bidflow.plans.auctions import CATEGORY, LAST_N, STATES
 from bidflow.streaming.folds import state_machine, stateful_binary, stateful_unary
+from bidflow.streaming.runs import END_OF_TIME_US
 
 
 def with_timestamps(df: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def q8(auctions: DataFrame, people: DataFrame, window_seconds: int = 12 * 3600,
     return opened.join(joined, soon).select("seller")
 
 
-#: Auctions and bids meet per slot of this length. Longer ones repeat an auction less and keep bids longer.
+#: A bid waits for its auction until the end of its slot of this length.
 SLOT_SECONDS = 86_400
 
 CLOSED = (
@@ -70,49 +71,41 @@ CLOSED = (
 )
 
 
-def clock(rows: DataFrame, times: dict[str, str], delay: str) -> DataFrame:
-    """No rows, in the columns of `rows`; but the stream's watermark does not pass the times of these.
-
-    times renames a column of `rows` to the watched one. Spark lets the slowest watermark count, and the filter
-    names the watched column, which keeps it above the node that watches.
-    """
-    ((source, watched),) = times.items()
-    return rows.withColumn(watched, F.col(source)).withWatermark(watched, delay).where(F.col(watched) < F.timestamp_micros(F.lit(-(1 << 62))))
-
-
 def closed_auctions(auctions: DataFrame, bids: DataFrame, delay: str = "0 seconds", slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """Each auction with its winning bid, emitted when the watermark passes its expiry. Native operators only.
+    """Each auction with its winning bid, emitted once the watermark has passed its expiry. Native operators only.
 
-    Bids meet the auctions that are open at their time in a stream-stream join on auction and slot of time, an
-    auction being in every slot it is open in; then a minimum per auction, grouped by its expiry, is emitted once
-    that is past. The slot is part of the join key and has a watermark, so both sides forget slots that are
-    over, and an auction's minimum is dropped with its expiry. Auctions hold the watermark back by their
-    opening too: one that comes after its expiry is late, one that comes before bids of its time is not.
+    An auction is a session of its id from its opening to its expiry, a bid one from its time to the end of its slot, so
+    a bid and the auctions it falls into are always in one session, which is one row of state and is emitted and dropped
+    when it is over. The exact conditions are applied inside it: sessions may hold bids of no auction, and several
+    auctions of one id. The bids of a session are in memory together. A longer slot lets auctions and bids of an
+    auction come later behind the watermark, and results wait at most for the end of the slot of the last bid.
     """
-    length = slot_seconds * 1_000_000
+    carried = ["id", "seller", "category", "initial_bid", "reserve", "opened_us", "expires_us"]
 
-    def slot_of(us):
-        return F.floor(us / length)
+    def watched(rows):
+        # The row that ends a stream moves the watermark and is no auction or bid. The filter names the watched column, which
+        # keeps it above the node that watches.
+        return rows.withWatermark("at", delay).where((F.unix_micros("at") < END_OF_TIME_US) & F.col("auction").isNotNull())
 
     opened = auctions.select(
-        "id", "seller", "category", "initial_bid", "reserve", F.unix_micros("date_time").alias("opened_us"),
-        F.unix_micros("expires").alias("expires_us"), "expires", F.col("date_time").alias("at"),
+        F.col("id").alias("auction"), F.col("date_time").alias("at"), (F.unix_micros("expires") - F.unix_micros("date_time")).alias("wait_us"),
+        F.struct(*carried[:5], F.unix_micros("date_time").alias("opened_us"), F.unix_micros("expires").alias("expires_us")).alias("opened"),
     )
-    first, last = slot_of(F.col("opened_us")), slot_of(F.col("expires_us") - 1)
-    every = F.when(last > first, F.sequence(first, last)).otherwise(F.array(first))
-    open_in = opened.drop("at").withWatermark("expires", delay).withColumn("slot", F.explode(every)).withColumn("slot", F.timestamp_micros(F.col("slot") * length))
-    offers = bids.select("auction", "bidder", "price", F.unix_micros("date_time").alias("bid_us"), F.col("date_time").alias("bid_time")).withWatermark("bid_time", delay)
-    watch = opened.select(F.col("id").alias("auction"), F.lit(0).cast("bigint").alias("bidder"), F.lit(0).cast("bigint").alias("price"), F.lit(0).cast("bigint").alias("bid_us"), "at")
-    offers = offers.unionByName(clock(watch, {"at": "bid_time"}, delay).select("auction", "bidder", "price", "bid_us", "bid_time"))
-    offers = offers.withColumn("bid_slot", F.window("bid_time", f"{slot_seconds} seconds"))
-    same = (
-        (F.col("auction") == F.col("id")) & (F.col("bid_slot") == F.struct(F.col("slot").alias("start"), (F.col("slot") + F.make_interval(secs=F.lit(slot_seconds))).alias("end")))
-        & (F.col("opened_us") <= F.col("bid_us")) & (F.col("bid_us") < F.col("expires_us")) & (F.col("price") >= F.col("reserve"))
+    length, us = slot_seconds * 1_000_000, F.unix_micros("date_time")
+    offers = bids.select(
+        "auction", F.col("date_time").alias("at"), (length - F.pmod(us, F.lit(length))).alias("wait_us"),
+        F.struct("price", us.alias("bid_us"), "bidder").alias("offer"),
     )
-    pairs = offers.join(open_in, same)
-    carried = ["id", "seller", "category", "initial_bid", "reserve", "opened_us", "expires_us"]
-    best = F.min(F.struct((-F.col("price")).alias("minus_price"), "bid_us", "bidder")).alias("best")
-    return pairs.groupBy(*carried, "expires").agg(best).select(*carried, "best.bidder", (-F.col("best.minus_price")).alias("price"), "best.bid_us")
+    merged = watched(opened).unionByName(watched(offers), allowMissingColumns=True)
+    wait = F.make_interval(secs=(F.col("wait_us").cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    met = merged.groupBy("auction", F.session_window("at", wait)).agg(F.collect_set("opened").alias("opened"), F.collect_list("offer").alias("offers"))
+
+    def best(a):
+        valid = F.filter("offers", lambda b: (a["opened_us"] <= b["bid_us"]) & (b["bid_us"] < a["expires_us"]) & (b["price"] >= a["reserve"]))
+        return F.array_min(F.transform(valid, lambda b: F.struct((-b["price"]).alias("minus_price"), b["bid_us"].alias("bid_us"), b["bidder"].alias("bidder"))))
+
+    won = met.select(F.explode(F.transform("opened", lambda a: F.struct(a.alias("a"), best(a).alias("best")))).alias("w")).where("w.best IS NOT NULL")
+    return won.select("w.a.*", "w.best.bidder", (-F.col("w.best.minus_price")).alias("price"), "w.best.bid_us")
 
 
 def closed_log(closed: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from bidflow.operators.sizing import scratch_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+#: Counting the rows of a store costs a read for every write.
+COUNT_CONF = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 #: The time of the row that ends a stream, in microseconds: about the year 287000. It leaves room below the
 #: largest timestamp for windows that are computed from it.
 END_OF_TIME_US = 9_000_000_000_000_000_000
@@ -43,8 +45,9 @@ def run_to_table(
     marker.limit(0).write.parquet(end_path)
     end = spark.readStream.schema(marker.schema).parquet(end_path)
 
-    before = spark.conf.get(PROVIDER_CONF)
+    before = {name: spark.conf.get(name, None) for name in (PROVIDER_CONF, COUNT_CONF)}
     spark.conf.set(PROVIDER_CONF, ROCKSDB)
+    spark.conf.set(COUNT_CONF, "false")
     try:
         plan = build(end)
         _run_available(plan, out_path, checkpoint)
@@ -52,7 +55,8 @@ def run_to_table(
             marker.write.mode("append").parquet(end_path)
             _run_available(plan, out_path, checkpoint)
     finally:
-        spark.conf.set(PROVIDER_CONF, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(plan.schema).parquet(out_path), checkpoint
 
 

@@ -295,6 +295,29 @@ def test_streamed_closed_auctions_keep_nothing(spark, sf_dir):
     assert operator_rows(spark, checkpoint, "stateStoreSave") == 0
 
 
+def test_closed_auctions_wait_in_one_row_per_auction(spark, tmp_path):
+    """An auction and its bids are one row of state; ids may repeat or be null, and bids may meet no auction."""
+    time = "timestamp_seconds(100 * 86400 + {})"
+    auctions, bids = str(tmp_path / "auctions"), str(tmp_path / "bids")
+    columns = f"id, s seller, s category, r initial_bid, r reserve, {time.format('o')} date_time, {time.format('e')} expires"
+    rows = "(1, 1, 10, 0, 100), (1, 2, 50, 20, 200), (1, 2, 50, 20, 200), (2, 3, 10, 0, 100), (3, 4, 10, 50, 50), (NULL, 5, 10, 0, 100)"
+    spark.sql(f"SELECT {columns} FROM VALUES {rows} AS t(id, s, r, o, e)").selectExpr(
+        *[f"CAST({c} AS BIGINT) {c}" for c in ("id", "seller", "category", "initial_bid", "reserve")], "date_time", "expires"
+    ).write.parquet(auctions)
+    offers = "(1, 7, 40, 10), (1, 8, 60, 30), (1, 9, 60, 20), (1, 6, 60, 20), (1, 5, 90, 200), (2, 7, 9, 50), (2, 7, 90, 100), (3, 7, 90, 50), (9, 7, 90, 50), (NULL, 7, 90, 50)"
+    spark.sql(f"SELECT CAST(a AS BIGINT) auction, CAST(b AS BIGINT) bidder, CAST(p AS BIGINT) price, {time.format('t')} date_time FROM VALUES {offers} AS t(a, b, p, t)").write.parquet(bids)
+
+    def build(end):
+        return sq.closed_auctions(*[_with_end(read_stream(spark, path), end) for path in (auctions, bids)])
+
+    checkpoint = run_to_table(spark, build, "open", flush=False)[1]
+    assert 0 < operator_rows(spark, checkpoint, "sessionWindowStateStoreSaveExec") <= 4
+    found, checkpoint = run_to_table(spark, build, "closed")
+    assert sorted((r.id, r.seller, r.bidder, r.price) for r in found.collect()) == [(1, 1, 6, 60), (1, 2, 6, 60)]
+    assert operator_rows(spark, checkpoint, "sessionWindowStateStoreSaveExec") == 0
+    assert operator_rows(spark, checkpoint, "symmetricHashJoin") == 0
+
+
 def test_closed_auctions_over_many_triggers(spark, sf_dir, tmp_path):
     """One file per trigger and short slots: the same winners as in one batch over tables."""
     auctions = sq.with_timestamps(tables.auctions(spark, sf_dir)).withColumn("expires", F.col("date_time") + F.expr("make_interval(0, 0, 0, id % 40)"))
