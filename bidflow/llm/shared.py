@@ -70,8 +70,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 #: hash whatever the base is.
 PRIME = (1 << 61) - 1
 BASE = 0x9E3779B97F4A7C15 % PRIME
-#: Powers kept for good; longer data is hashed in steps of so many values, which bounds the table.
-STEP = 1 << 21
+#: Powers kept for good; longer data is hashed in steps of so many values, which bounds the table and what a step needs.
+STEP = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
 _P, _LOW, _29, _32, _61 = np.uint64(PRIME), np.uint64(0xFFFFFFFF), np.uint64(29), np.uint64(32), np.uint64(61)
@@ -132,9 +132,9 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     _, down = powers(len(sums))
     starts = np.asarray(starts)
     out = _times(_reduced(sums[ends] + (_P - sums[starts])), down[starts % STEP] if len(sums) > STEP else down[starts])
-    for step in range(1, -(-len(sums) // STEP)):
-        here = starts // STEP == step
-        out[here] = _times(out[here], np.uint64(pow(BASE, -step * STEP, PRIME)))
+    if len(sums) > STEP:
+        steps = np.array([pow(BASE, -step * STEP, PRIME) for step in range(-(-len(sums) // STEP))], np.uint64)
+        out = _times(out, steps[starts // STEP])
     return mixed(out)
 
 
