@@ -29,6 +29,17 @@ def test_span_hash_is_the_polynomial(step, kind, monkeypatch):
         assert shared.mixed(np.array([value], np.uint64))[0] == h
 
 
+def test_long_data_keeps_little_memory(monkeypatch):
+    """The powers that stay with a worker are a few megabytes, and equal runs far apart have one hash."""
+    monkeypatch.setattr(shared, "_POWERS", {})
+    data = np.random.default_rng(3).integers(0, 255, 3 << 20, dtype=np.uint8)
+    data[(5 << 18) - 50 : (5 << 18) + 50] = data[(2 << 20) + 7 : (2 << 20) + 107] = data[10:110]
+    starts = np.array([10, (5 << 18) - 50, (2 << 20) + 7, 11])
+    found = shared.span_hash(shared.prefix_sums(data), starts, starts + 100).tolist()
+    assert found[0] == found[1] == found[2] != found[3]
+    assert sum(table.nbytes for table in shared._POWERS.values()) <= 4 << 20
+
+
 def test_twins_differ(spark):
     one, other = twins()
     rest = " ".join(f"w{i}" for i in range(19))
