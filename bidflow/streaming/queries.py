@@ -120,7 +120,7 @@ def q4_running(closed: DataFrame, delay: str = "0 seconds") -> DataFrame:
         return False, (total, n), [(row["id"], category, total // n)]
 
     return state_machine(
-        closed, "category", "expires", "id", fold, "id BIGINT, category BIGINT, avg_price BIGINT", "total BIGINT, n BIGINT", delay
+        closed.select("id", "category", "price", "expires"), "category", "expires", "id", fold, "id BIGINT, category BIGINT, avg_price BIGINT", "total BIGINT, n BIGINT", delay
     )
 
 
@@ -132,7 +132,7 @@ def q6(closed: DataFrame, n: int = LAST_N, delay: str = "0 seconds") -> DataFram
             yield (row["id"], bidder, sum(prices) // len(prices))
 
     return stateful_unary(
-        closed, "bidder", "expires", "id", fold, "id BIGINT, bidder BIGINT, avg_price BIGINT", items="price BIGINT", delay=delay
+        closed.select("id", "bidder", "price", "expires"), "bidder", "expires", "id", fold, "id BIGINT, bidder BIGINT, avg_price BIGINT", items="price BIGINT", delay=delay
     )
 
 
