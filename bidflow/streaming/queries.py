@@ -80,32 +80,33 @@ def closed_auctions(auctions: DataFrame, bids: DataFrame, delay: str = "0 second
     auctions of one id. The bids of a session are in memory together. A longer slot lets auctions and bids of an
     auction come later behind the watermark, and results wait at most for the end of the slot of the last bid.
     """
-    carried = ["id", "seller", "category", "initial_bid", "reserve", "opened_us", "expires_us"]
-
     def watched(rows):
         # The row that ends a stream moves the watermark and is no auction or bid. The filter names the watched column, which
         # keeps it above the node that watches.
         return rows.withWatermark("at", delay).where((F.unix_micros("at") < END_OF_TIME_US) & F.col("auction").isNotNull())
 
-    opened = auctions.select(
-        F.col("id").alias("auction"), F.col("date_time").alias("at"), (F.unix_micros("expires") - F.unix_micros("date_time")).alias("wait_us"),
-        F.struct(*carried[:5], F.unix_micros("date_time").alias("opened_us"), F.unix_micros("expires").alias("expires_us")).alias("opened"),
-    )
-    length, us = slot_seconds * 1_000_000, F.unix_micros("date_time")
-    offers = bids.select(
-        "auction", F.col("date_time").alias("at"), (length - F.pmod(us, F.lit(length))).alias("wait_us"),
-        F.struct("price", us.alias("bid_us"), "bidder").alias("offer"),
+    terms = F.struct("seller", "category", "initial_bid", "reserve", F.unix_micros("expires").alias("expires_us"))
+    opened = auctions.select(F.col("id").alias("auction"), F.col("date_time").alias("at"), terms.alias("terms"))
+    offers = bids.select("auction", F.col("date_time").alias("at"), "bidder", "price")
+    # Dealt to the stores as they are: sessions and their lists, made first, would be twice the bytes to shuffle, and sorted twice.
+    merged = watched(opened).unionByName(watched(offers), allowMissingColumns=True).repartition("auction")
+    length, us, is_bid = slot_seconds * 1_000_000, F.unix_micros("at"), F.col("terms").isNull()
+    wait_us = F.when(is_bid, length - F.pmod(us, F.lit(length))).otherwise(F.col("terms.expires_us") - us)
+    wait = F.make_interval(secs=(wait_us.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    met = merged.groupBy("auction", F.session_window("at", wait)).agg(
+        F.collect_set(F.when(~is_bid, F.struct("terms.*", us.alias("opened_us")))).alias("opened"),
+        F.collect_list(F.when(is_bid, F.struct("price", us.alias("bid_us"), "bidder"))).alias("offers"),
     )
-    merged = watched(opened).unionByName(watched(offers), allowMissingColumns=True)
-    wait = F.make_interval(secs=(F.col("wait_us").cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
-    met = merged.groupBy("auction", F.session_window("at", wait)).agg(F.collect_set("opened").alias("opened"), F.collect_list("offer").alias("offers"))
 
     def best(a):
         valid = F.filter("offers", lambda b: (a["opened_us"] <= b["bid_us"]) & (b["bid_us"] < a["expires_us"]) & (b["price"] >= a["reserve"]))
         return F.array_min(F.transform(valid, lambda b: F.struct((-b["price"]).alias("minus_price"), b["bid_us"].alias("bid_us"), b["bidder"].alias("bidder"))))
 
-    won = met.select(F.explode(F.transform("opened", lambda a: F.struct(a.alias("a"), best(a).alias("best")))).alias("w")).where("w.best IS NOT NULL")
-    return won.select("w.a.*", "w.best.bidder", (-F.col("w.best.minus_price")).alias("price"), "w.best.bid_us")
+    won = met.select("auction", F.explode(F.transform("opened", lambda a: F.struct(a.alias("a"), best(a).alias("best")))).alias("w")).where("w.best IS NOT NULL")
+    return won.select(
+        F.col("auction").alias("id"), *[f"w.a.{c}" for c in ("seller", "category", "initial_bid", "reserve", "opened_us", "expires_us")],
+        "w.best.bidder", (-F.col("w.best.minus_price")).alias("price"), "w.best.bid_us",
+    )
 
 
 def closed_log(closed: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from bidflow.plans.registry import BIN_SHIFT, HOUR, Q5_SLICES, Q8_WINDOW, WORKER
 from bidflow.sources import tables
 from bidflow.sources.logs import capture, parse_control_lines, replay_stream
 from bidflow.streaming import folds, queries as sq, routing, timers
-from bidflow.streaming.runs import read_stream, run_to_table, scan_state
+from bidflow.streaming.runs import read_stream, run_count, run_in_parts, run_to_table, scan_state
 
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -106,12 +106,14 @@ def stream_q8(spark, d):
 
 def _closed(spark, d):
     s = _Streams(spark, d)
+    parts = run_count(tables.table(spark, d, "orders"), tables.table(spark, d, "lineitem"))
 
-    def build(end):
+    def build(end, part):
+        auctions, bids = (df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part) for df, key in ((s.auctions(), "id"), (s.bids(), "auction")))
         # Auctions of these tables last 365 days.
-        return sq.closed_auctions(_with_end(s.auctions(), end), _with_end(s.bids(), end), slot_seconds=365 * 86_400)
+        return sq.closed_auctions(_with_end(auctions, end), _with_end(bids, end), slot_seconds=365 * 86_400)
 
-    return run_to_table(spark, build, "closed-log")
+    return run_in_parts(spark, build, "closed-log", parts)
 
 
 @stream

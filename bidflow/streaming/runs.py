@@ -3,15 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidflow.operators.sizing import scratch_folder
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
-#: Counting the rows of a store costs a read for every write.
-COUNT_CONF = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+from bidflow.operators.sizing import scanned_bytes, scratch_folder
+
+_STATE = "spark.sql.streaming.stateStore"
+#: Settings of the streams that are run here.
+CONF = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Counting the rows of a store costs a read for every write.
+    f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
+    # Else every open store reserves about 70 MB of disk for a log.
+    f"{_STATE}.rocksdb.allowFAllocate": "false",
+    # Blocks are compressed one by one; stores are read and written in order, not by single rows.
+    f"{_STATE}.rocksdb.compression": "zstd",
+    f"{_STATE}.rocksdb.blockSizeKB": "64",
+    # A store is in the checkpoint when its task ends. Else its local copy stays for a minute or more, also after the query.
+    f"{_STATE}.unloadOnCommit": "true",
+    # Shuffle files go when a trigger is done, not when the driver happens to collect its garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+#: A run takes about so many bytes of input, where its plan can be run for some keys at a time.
+RUN_BYTES_CONF = "spark.bidflow.streamRunBytes"
+RUN_BYTES = 512 << 20
 #: The time of the row that ends a stream, in microseconds: about the year 287000. It leaves room below the
 #: largest timestamp for windows that are computed from it.
 END_OF_TIME_US = 9_000_000_000_000_000_000
@@ -45,10 +61,10 @@ def run_to_table(
     marker.limit(0).write.parquet(end_path)
     end = spark.readStream.schema(marker.schema).parquet(end_path)
 
-    before = {name: spark.conf.get(name, None) for name in (PROVIDER_CONF, COUNT_CONF)}
-    spark.conf.set(PROVIDER_CONF, ROCKSDB)
-    spark.conf.set(COUNT_CONF, "false")
+    before = {name: spark.conf.get(name, None) for name in CONF}
     try:
+        for name, value in CONF.items():
+            spark.conf.set(name, value)
         plan = build(end)
         _run_available(plan, out_path, checkpoint)
         if flush:
@@ -60,6 +76,28 @@ def run_to_table(
     return spark.read.schema(plan.schema).parquet(out_path), checkpoint
 
 
+def run_count(*inputs: DataFrame) -> int:
+    """Runs for `run_in_parts`, by the bytes of the files below these tables."""
+    most = int(inputs[0].sparkSession.conf.get(RUN_BYTES_CONF, str(RUN_BYTES)))
+    return max(1, -(-sum(scanned_bytes(df) for df in inputs) // most))
+
+
+def run_in_parts(spark: SparkSession, build: Callable[[DataFrame, int], DataFrame], name: str, parts: int) -> tuple[DataFrame, str]:
+    """`run_to_table` over `build(end, part)` for one part after another: the rows of all, and the last checkpoint.
+
+    An input in no order of time is in state as a whole before anything closes. `build` takes the keys of a part from
+    all its input, so only their state is on disk together: a part's checkpoint goes before the next part begins.
+    """
+    found, checkpoint = [], None
+    for part in range(parts):
+        if checkpoint:
+            done = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+        rows, checkpoint = run_to_table(spark, partial(build, part=part), name)
+        found.append(rows)
+    return reduce(DataFrame.unionByName, found), checkpoint
+
+
 def _run_available(plan: DataFrame, out_path: str, checkpoint: str) -> None:
     query = (
         plan.writeStream.format("parquet").outputMode("append")

@@ -318,6 +318,51 @@ def test_closed_auctions_wait_in_one_row_per_auction(spark, tmp_path):
     assert operator_rows(spark, checkpoint, "symmetricHashJoin") == 0
 
 
+def test_open_auctions_take_little_disk(spark, tmp_path):
+    """20,000 auctions and 80,000 bids on many days wait in less than 50 bytes a row, and only in the checkpoint."""
+    day = "timestamp_seconds(8000 * 86400 + pmod(xxhash64(id, {}), 2400) * 86400)"
+    spark.sql(
+        f"SELECT id, pmod(xxhash64(id, 1), 15000) seller, 10L category, pmod(xxhash64(id, 2), 50000000) initial_bid, 5L reserve,"
+        f" {day.format(3)} date_time, {day.format(3)} + INTERVAL '365' DAY expires FROM range(20000)"
+    ).write.parquet(str(tmp_path / "auctions"))
+    spark.sql(
+        f"SELECT pmod(xxhash64(id, 4), 20000) auction, pmod(xxhash64(id, 5), 1000) bidder, pmod(xxhash64(id, 6), 10000000) price, {day.format(7)} date_time FROM range(80000)"
+    ).write.parquet(str(tmp_path / "bids"))
+    local = spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+
+    def stored(path):
+        return {os.path.join(at, f): os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files if f.endswith((".sst", ".log"))}
+
+    before = set(stored(local))
+
+    def build(end):
+        return sq.closed_auctions(*[_with_end(read_stream(spark, str(tmp_path / name)), end) for name in ("auctions", "bids")], slot_seconds=365 * 86_400)
+
+    checkpoint = run_to_table(spark, build, "open", flush=False)[1]
+    assert 0 < sum(stored(f"{checkpoint}/state").values()) < 50 * 100_000
+    assert not set(stored(local)) - before
+
+
+def test_closed_auctions_in_parts(spark, sf_dir):
+    """Runs over a third of the keys each give the rows of one run; the state of a part goes before the next one."""
+    from bidflow.streaming.registry import _closed
+    from bidflow.streaming.runs import RUN_BYTES_CONF
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    files = sum(os.path.getsize(f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem"))
+    spark.conf.set(RUN_BYTES_CONF, str(files // 3 + 1))
+    try:
+        rows, checkpoint = _closed(spark, sf_dir)
+    finally:
+        spark.conf.unset(RUN_BYTES_CONF)
+    runs = [f"{shared}/{f}" for f in os.listdir(shared) if f not in before]
+    assert len(runs) == 3 and [f"{r}/checkpoint" for r in runs if os.path.exists(f"{r}/checkpoint")] == [checkpoint]
+    expected = q.closed_auctions(tables.auctions(spark, sf_dir), tables.bids(spark, sf_dir))
+    columns = ["id", "seller", "category", "reserve", "bidder", "price"]
+    assert changelog.verify_equal(expected.select(*columns), rows.select(*columns)).count() == 0
+
+
 def test_closed_auctions_over_many_triggers(spark, sf_dir, tmp_path):
     """One file per trigger and short slots: the same winners as in one batch over tables."""
     auctions = sq.with_timestamps(tables.auctions(spark, sf_dir)).withColumn("expires", F.col("date_time") + F.expr("make_interval(0, 0, 0, id % 40)"))
