@@ -80,6 +80,7 @@ def closed_auctions(auctions: DataFrame, bids: DataFrame, delay: str = "0 second
     auctions of one id. The bids of a session are in memory together. A longer slot lets auctions and bids of an
     auction come later behind the watermark, and results wait at most for the end of the slot of the last bid.
     """
+
     def watched(rows):
         # The row that ends a stream moves the watermark and is no auction or bid. The filter names the watched column, which
         # keeps it above the node that watches.

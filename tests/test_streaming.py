@@ -363,6 +363,28 @@ def test_closed_auctions_in_parts(spark, sf_dir):
     assert changelog.verify_equal(expected.select(*columns), rows.select(*columns)).count() == 0
 
 
+def test_running_q4_in_parts(spark, sf_dir, duck):
+    """Auctions closed in runs over parts of their keys are folded in order of expiry over all parts; no store stays open on local disk."""
+    from bidflow.streaming.runs import RUN_BYTES_CONF
+
+    local = spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+
+    def stored():
+        return {os.path.join(at, f) for at, _, files in os.walk(local) for f in files if f.endswith((".sst", ".log"))}
+
+    shared, before = spark.conf.get("spark.checkpoint.dir"), stored()
+    runs = {f for f in os.listdir(shared) if f.startswith("closed-log-")}
+    spark.conf.set(RUN_BYTES_CONF, str(os.path.getsize(f"{sf_dir}/lineitem.parquet")))
+    try:
+        found = STREAMS["stream_q4_running"](spark, sf_dir)
+    finally:
+        spark.conf.unset(RUN_BYTES_CONF)
+    assert compare(found, duck, ORACLE["stream_q4_running"]) is None
+    runs = {f for f in os.listdir(shared) if f.startswith("closed-log-")} - runs
+    assert len(runs) == 2 and sum(os.path.exists(f"{shared}/{f}/checkpoint") for f in runs) == 1
+    assert not stored() - before
+
+
 def test_closed_auctions_over_many_triggers(spark, sf_dir, tmp_path):
     """One file per trigger and short slots: the same winners as in one batch over tables."""
     auctions = sq.with_timestamps(tables.auctions(spark, sf_dir)).withColumn("expires", F.col("date_time") + F.expr("make_interval(0, 0, 0, id % 40)"))
