@@ -89,7 +89,7 @@ def closed_auctions(auctions: DataFrame, bids: DataFrame, delay: str = "0 second
     terms = F.struct("seller", "category", "initial_bid", "reserve", F.unix_micros("expires").alias("expires_us"))
     opened = auctions.select(F.col("id").alias("auction"), F.col("date_time").alias("at"), terms.alias("terms"))
     offers = bids.select("auction", F.col("date_time").alias("at"), "bidder", "price")
-    # Dealt to the stores as they are: sessions and their lists, made first, would be twice the bytes to shuffle, and sorted twice.
+    # Rows are shuffled before sessions and lists are made of them, which are more bytes.
     merged = watched(opened).unionByName(watched(offers), allowMissingColumns=True).repartition("auction")
     length, us, is_bid = slot_seconds * 1_000_000, F.unix_micros("at"), F.col("terms").isNull()
     wait_us = F.when(is_bid, length - F.pmod(us, F.lit(length))).otherwise(F.col("terms.expires_us") - us)
